@@ -137,7 +137,10 @@ def sentence_ends(text: str) -> list[int]:
 
 
 def _sentence_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(scores [sentence, language], letters per sentence, document of each, end offset of each)."""
+    """(scores [sentence, language], letters per sentence, document of each, end offset of each).
+
+    Lines of figures, where letters are the smaller part of what is not blank, count as without letters.
+    """
     ends = [sentence_ends(t) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(e) for e in ends])
     local = np.concatenate([np.asarray(e, np.int64) for e in ends]) if ends else np.zeros(0, np.int64)
@@ -150,10 +153,10 @@ def _sentence_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.nda
     lowered = [t.lower() for t in texts]
     lowered = [a if len(a) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for a, t in zip(lowered, texts)]
     codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = _letter_table()[codes]
+    letters, marks = _letter_table()[codes], codes > 32
     codes = np.where(letters, codes, np.uint32(32))
     k = model.logp.shape[1]
-    scores, count = np.zeros((len(stops), k), np.float64), np.zeros(len(stops), np.int64)
+    scores, count, others = np.zeros((len(stops), k), np.float64), np.zeros(len(stops), np.int64), np.zeros(len(stops), np.int64)
     for lo in range(0, len(codes), _WINDOW):
         hi = min(lo + _WINDOW, len(codes))
         first, last = np.searchsorted(stops, lo, side="right"), np.searchsorted(starts, hi, side="left")
@@ -167,8 +170,9 @@ def _sentence_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.nda
             total = part if total is None else total + part
         some = stops[first:last] > starts[first:last]
         scores[first:last] += np.where(some[:, None], total, 0)
-        count[first:last] += np.where(some, np.add.reduceat(letters[lo:hi].astype(np.int64), np.minimum(cuts, hi - lo - 1)), 0)
-    return scores, count, owner, local
+        for into, what in ((count, letters[lo:hi]), (others, marks[lo:hi] & ~letters[lo:hi])):
+            into[first:last] += np.where(some, np.add.reduceat(what.astype(np.int64), np.minimum(cuts, hi - lo - 1)), 0)
+    return scores, np.where(count >= others, count, 0), owner, local
 
 
 def _stretches(scores: np.ndarray, cost: float) -> list[tuple[int, int, int]]:
@@ -235,7 +239,7 @@ def detect_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text
 
     Columns: doc_id, seg_no (from 1), lang (two letters), confidence (0 to 1), char_start, char_end,
     n_sentences, n_segments. A stretch has two sentences or more unless it is the whole document;
-    sentences with fewer than ``min_letters`` letters (lines of figures, stray marks) belong to the
+    sentences with fewer than ``min_letters`` letters, or with fewer letters than digits and marks, belong to the
     stretch around them and decide nothing. NULL, empty and letterless texts have no language and
     give no row; the stretches of a document cover it from its first to its last character.
     Repeated ids are scored row by row. Ties go to the alphabetically first language.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.keys import accession_key
 from factloom.llm import language
+from factloom.llm.leakage import leaked_items
 from factloom.llm.survivors import best_representatives
 from factloom.sources.tables import table
 
@@ -35,6 +36,20 @@ def p1_precedence(spark: SparkSession, sf: str) -> DataFrame:
     return _representatives(spark, sf)[1].withColumn("field", name)
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "eval_items")
+    passages = items.select("item_id", F.explode(F.array("question", "passage")).alias("passage"))
+    return leaked_items(table(spark, sf, "documents"), passages)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p6_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("shared_words").alias("longest_run"))
+
+
 def _model(spark: SparkSession, sf: str) -> language.Model:
     return language.train(table(spark, sf, "lang_samples"))
 
@@ -51,6 +66,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_golden_records": p1_golden_records,
     "p1_precedence": p1_precedence,
+    "p6_found": p6_found,
+    "p6_leaked_items": p6_leaked_items,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }

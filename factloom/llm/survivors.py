@@ -20,10 +20,13 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.keys import age, digest
 from factloom.session import cut_lineage
 
+_LEVELS = T.ArrayType(T.StructType([T.StructField("state", T.StringType()), T.StructField("level", T.IntegerType())]))
+
 
 def duplicate_members(df: DataFrame, keys: Sequence[Column], record_id: str, value: str, time: str, fields: Sequence[str], keep: Sequence[Column] = ()) -> DataFrame:
     """Rows of groups of two or more: grp, id, val, at, f0..fn and the ``keep`` columns."""
@@ -74,7 +77,7 @@ def learn_precedence(states: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<struct<state:string,level:int>>")
+@F.pandas_udf(_LEVELS)
 def _levels(edges: pd.Series) -> pd.Series:
     """Topological level of each value of one group and field; values on a cycle share the level reached."""
 
