@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from factloom.functions.keys import accession_key
 from factloom.llm import language
 from factloom.llm.leakage import leaked_items
+from factloom.llm.mixing import mix_sources
+from factloom.llm.neardup import duplicate_groups, expand_pairs, near_duplicates
+from factloom.llm.splitting import oversized, split_texts
 from factloom.llm.survivors import best_representatives
 from factloom.sources.tables import table
 
@@ -36,6 +39,59 @@ def p1_precedence(spark: SparkSession, sf: str) -> DataFrame:
     return _representatives(spark, sf)[1].withColumn("field", name)
 
 
+def _near_duplicates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    sections, versions = table(spark, sf, "filing_sections"), table(spark, sf, "section_versions")
+    texts = sections.select(F.lit("filing_sections").alias("set"), "id", F.col("text_md").alias("text"))
+    texts = texts.unionByName(versions.select(F.lit("section_versions").alias("set"), F.col("version_id").alias("id"), "text"))
+    return near_duplicates(texts, run_words=3, threshold=0.6, least_words=20)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return expand_pairs(*_near_duplicates(spark, sf)).withColumnRenamed("set", "record_set")
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_groups(*_near_duplicates(spark, sf)).withColumnsRenamed({"set": "record_set", "class": "class_id", "group": "group_id"})
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = split_texts(oversized(table(spark, sf, "filing_sections"), "text_md"), "id", "text_md")
+    return pieces.where("piece_no = 1").select(F.col("id").alias("section_id"), "forced_paragraphs")
+
+
+def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of all sections, in the manner of chunks: offsets in the filing's full text."""
+    sections = table(spark, sf, "filing_sections")
+    about = sections.select("id", "filing_id", "section", "item_label", "char_offset_start")
+    return (
+        split_texts(sections, "id", "text_md")
+        .join(about, "id")
+        .select(
+            F.col("id").alias("section_id"), "filing_id", "section", "item_label", "piece_no",
+            (F.col("char_offset_start") + F.col("piece_start")).alias("char_offset_start"),
+            (F.col("char_offset_start") + F.col("piece_end")).alias("char_offset_end"),
+            "text", "cut",
+        )
+    )
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources below their target in the mix, kept if no number of allowed passes could reach it."""
+    return _mix(spark, sf)[1].where("mixed_tokens < wanted_tokens").where("short").select("source")
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[1]
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "eval_items")
     passages = items.select("item_id", F.explode(F.array("question", "passage")).alias("passage"))
@@ -66,8 +122,15 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_golden_records": p1_golden_records,
     "p1_precedence": p1_precedence,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_leaked_items": p6_leaked_items,
+    "p7_found": p7_found,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }
@@ -99,4 +162,19 @@ SQL = {
         FROM t WHERE prev_seen < seen GROUP BY ALL)
       SELECT field, CASE WHEN up > down THEN lo ELSE hi END AS before, CASE WHEN up > down THEN hi ELSE lo END AS after, greatest(up, down) AS support, least(up, down) AS against
       FROM p WHERE up <> down""",
+    "p4_found": """
+      WITH t AS (SELECT 'filing_sections' AS record_set, id, text_md AS text FROM filing_sections UNION ALL SELECT 'section_versions', version_id, text FROM section_versions),
+      w AS (SELECT record_set, id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM t),
+      s AS (SELECT record_set, id, unnest(list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 20),
+      n AS (SELECT record_set, id, count(*) AS n FROM s GROUP BY 1, 2),
+      c AS (SELECT a.record_set, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.record_set = b.record_set AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
+      SELECT record_set, id_a, id_b FROM c JOIN n x ON x.record_set = c.record_set AND x.id = id_a JOIN n y ON y.record_set = c.record_set AND y.id = id_b
+      WHERE c / (x.n + y.n - c) >= 0.6""".replace("SELECT record_set, id_a", "SELECT c.record_set, id_a"),
+    "p5_found": """
+      SELECT id AS section_id, len(list_filter(string_split_regex(replace(replace(text_md, chr(13) || chr(10), chr(1) || chr(2)), chr(13), chr(10)),
+        '(?:\\x01\\x02|\\n)(?:[ \\t]*(?:\\x01\\x02|\\n))+'), x -> len(x) > 4096)) AS forced_paragraphs FROM filing_sections WHERE len(text_md) > 4096""",
+    "p7_found": """
+      WITH d AS (SELECT regexp_replace(lower(trim(source)), '[-\\s_]+', '_', 'g') AS source, len(text) AS n FROM documents),
+      t AS (SELECT m.source, target_share, max_repeats, coalesce(sum(n), 0) AS n FROM mix_targets m LEFT JOIN d ON d.source = regexp_replace(lower(trim(m.source)), '[-\\s_]+', '_', 'g') GROUP BY 1, 2, 3)
+      SELECT source FROM t WHERE n * max_repeats < target_share * (SELECT sum(n) FROM t)""",
 }
