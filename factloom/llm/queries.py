@@ -165,14 +165,14 @@ SQL = {
     "p4_found": """
       WITH t AS (SELECT 'filing_sections' AS record_set, id, text_md AS text FROM filing_sections UNION ALL SELECT 'section_versions', version_id, text FROM section_versions),
       w AS (SELECT record_set, id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM t),
-      s AS (SELECT record_set, id, unnest(list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 20),
+      s AS (SELECT record_set, id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 20),
       n AS (SELECT record_set, id, count(*) AS n FROM s GROUP BY 1, 2),
       c AS (SELECT a.record_set, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.record_set = b.record_set AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
-      SELECT record_set, id_a, id_b FROM c JOIN n x ON x.record_set = c.record_set AND x.id = id_a JOIN n y ON y.record_set = c.record_set AND y.id = id_b
-      WHERE c / (x.n + y.n - c) >= 0.6""".replace("SELECT record_set, id_a", "SELECT c.record_set, id_a"),
+      SELECT c.record_set, id_a, id_b FROM c JOIN n x ON x.record_set = c.record_set AND x.id = id_a JOIN n y ON y.record_set = c.record_set AND y.id = id_b
+      WHERE c / (x.n + y.n - c) >= 0.6""",
     "p5_found": """
       SELECT id AS section_id, len(list_filter(string_split_regex(replace(replace(text_md, chr(13) || chr(10), chr(1) || chr(2)), chr(13), chr(10)),
-        '(?:\\x01\\x02|\\n)(?:[ \\t]*(?:\\x01\\x02|\\n))+'), x -> len(x) > 4096)) AS forced_paragraphs FROM filing_sections WHERE len(text_md) > 4096""",
+        '(?:\\x01\\x02|\\n)(?:[ \\t]*(?:\\x01\\x02|\\n))+'), lambda x: len(x) > 4096)) AS forced_paragraphs FROM filing_sections WHERE len(text_md) > 4096""",
     "p7_found": """
       WITH d AS (SELECT regexp_replace(lower(trim(source)), '[-\\s_]+', '_', 'g') AS source, len(text) AS n FROM documents),
       t AS (SELECT m.source, target_share, max_repeats, coalesce(sum(n), 0) AS n FROM mix_targets m LEFT JOIN d ON d.source = regexp_replace(lower(trim(m.source)), '[-\\s_]+', '_', 'g') GROUP BY 1, 2, 3)
