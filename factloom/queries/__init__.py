@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("integrity", "facts")
+MODULES = ("integrity", "facts", "ingest", "text")
 
 
 def collect() -> tuple[dict, dict]:
