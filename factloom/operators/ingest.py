@@ -82,8 +82,8 @@ def unmapped_tags(facts: DataFrame, tags: DataFrame) -> DataFrame:
     return facts.where("concept IS NOT NULL").join(F.broadcast(tags), "concept", "left_anti").groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
 
 
-def insert_ignore(target: DataFrame, incoming: DataFrame, keys: Sequence[str], nulls_distinct: bool = True) -> DataFrame:
-    """Rows of ``incoming`` that an insert which ignores conflicts would add.
+def insert_ignore(target: DataFrame | None, incoming: DataFrame, keys: Sequence[str], nulls_distinct: bool = True) -> DataFrame:
+    """Rows of ``incoming`` that an insert which ignores conflicts would add to ``target`` (None: an empty table).
 
     With ``nulls_distinct`` a row with a NULL key never conflicts, neither with the target nor within the
     batch. Of incoming rows with one key the least by all its columns is taken.
@@ -91,15 +91,17 @@ def insert_ignore(target: DataFrame, incoming: DataFrame, keys: Sequence[str], n
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
-    free = incoming.where(some_null) if nulls_distinct else incoming.limit(0)
     bound = incoming.where(~some_null) if nulls_distinct else incoming
     row = F.struct(*incoming.columns)
     first = bound.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.min(row).alias("_row")).select("_row.*")
+    if target is None:
+        return first.unionByName(incoming.where(some_null)) if nulls_distinct else first
     t = target.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)])
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & (F.col(k).eqNullSafe(F.col(f"_t{i}")))
-    return first.join(t, same, "left_anti").unionByName(free)
+    added = first.join(t, same, "left_anti")
+    return added.unionByName(incoming.where(some_null)) if nulls_distinct else added
 
 
 def deterministic_id(*cols: Column) -> Column:

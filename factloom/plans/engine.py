@@ -1,0 +1,165 @@
+"""Answering a question: a short list of tool calls, run as lazy DataFrames, checked and retried.
+
+A planner turns a question into one to four steps; each step's tool builds a DataFrame; errors are kept per
+step and the others go on; a question whose plan is incomplete is refined at most ``most_refinements``
+times. The planner and the synthesiser are injected; the defaults are rules, no model.
+Only bounded previews (top rows) of results reach the driver.
+"""
+
+from __future__ import annotations
+
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import calc
+from factloom.operators import diffs, facts, search
+from factloom.sources.tables import table
+
+MOST_STEPS, PREVIEW_ROWS = 4, 30
+
+
+@dataclass(frozen=True)
+class Step:
+    tool: str
+    inputs: dict = field(default_factory=dict)
+
+
+@dataclass
+class Result:
+    step: Step
+    frame: DataFrame | None = None
+    rows: list = field(default_factory=list)
+    error: str | None = None
+
+
+@dataclass
+class Answer:
+    question: str
+    claims: list[dict]
+    used_tools: list[str]
+    refinements: int
+    trace_id: str
+    errors: list[str]
+
+
+def xbrl_sql(spark: SparkSession, sf: str, concepts: object, tickers: object = None, fiscal_years: object = None, fiscal_period: object = None, form: object = "10-K") -> DataFrame:
+    rows = facts.query_facts(table(spark, sf, "xbrl_facts"), table(spark, sf, "companies"), concepts, tickers, fiscal_years, fiscal_period, form)
+    return rows.orderBy("ticker", "canonical_concept", "fiscal_year", "period_end", "id")
+
+
+def filing_retriever(spark: SparkSession, sf: str, query: str, top_k: int = 10) -> DataFrame:
+    if not 1 <= top_k <= 50:
+        raise ValueError("top_k must be between 1 and 50")
+    chunks = table(spark, sf, "chunks").select("id", "text", "filing_id")
+    q = spark.createDataFrame([(0, query)], "id int, text string")
+    best = search.top_k(search.bm25(search.postings(chunks, "id", "text"), search.query_terms(q, "id", "text")), top_k)
+    return best.join(chunks.dropDuplicates(["id"]).withColumnRenamed("id", "doc"), "doc").orderBy("rank")
+
+
+def calculator(spark: SparkSession, sf: str, expression: str) -> DataFrame:
+    return spark.range(1).select(F.lit(expression).alias("expression"), calc.expression(expression).alias("result"))
+
+
+def filing_diff(spark: SparkSession, sf: str, ticker: str, section: str, year_a: int, year_b: int) -> DataFrame:
+    if year_a == year_b:
+        raise ValueError("the years must differ")
+    v = table(spark, sf, "section_versions").where((F.upper(F.trim("ticker")) == ticker.upper()) & (F.upper("section") == section.upper()))
+    of = lambda year: v.where(F.col("fiscal_year") == year).agg(F.min("version_id")).first()[0]
+    pair = spark.createDataFrame([(of(year_a), of(year_b))], "version_a string, version_b string")
+    return diffs.section_diffs(pair, v.select("version_id", "text"), "version_id", "text")
+
+
+TOOLS: dict[str, Callable[..., DataFrame]] = {"xbrl_sql": xbrl_sql, "filing_retriever": filing_retriever, "calculator": calculator, "filing_diff": filing_diff}
+
+
+def default_plan(question: str) -> list[Step]:
+    """A single retrieval, which is also what an empty plan becomes."""
+    return [Step("filing_retriever", {"query": question, "top_k": 10})]
+
+
+def run_steps(spark: SparkSession, sf: str, plan: list[Step], tools: dict[str, Callable[..., DataFrame]] | None = None) -> Iterator[Result]:
+    """Run the steps in order; a failing step yields its error and the next ones still run."""
+    for step in plan[:MOST_STEPS]:
+        try:
+            frame = (tools or TOOLS)[step.tool](spark, sf, **step.inputs)
+            yield Result(step, frame, [r.asDict(recursive=True) for r in frame.take(PREVIEW_ROWS)])
+        except Exception as x:  # noqa: BLE001 - any tool error is part of the result
+            yield Result(step, error=f"{type(x).__name__}: {x}"[:500])
+
+
+def incomplete(plan: list[Step], results: list[Result]) -> list[str]:
+    """What is missing: steps without a result and steps that failed. A result of zero rows counts as there."""
+    missing = [f"no result of {s.tool}" for s in plan[len(results) :]]
+    return missing + [f"{r.step.tool}: {r.error}" for r in results if r.error]
+
+
+def uncited(claims: list[dict]) -> list[str]:
+    """Numeric claims without a citation."""
+    return [c["text"] for c in claims if c["is_numeric"] and not c["citations"]]
+
+
+def claims_from(results: list[Result]) -> list[dict]:
+    """Claims by template: a number per fact row, citing its filing; a sentence per retrieved chunk."""
+    out = []
+    for r in results:
+        for row in r.rows:
+            if r.step.tool == "xbrl_sql" and row.get("value") is not None:
+                out.append({"text": f"{row['ticker']} {row['canonical_concept']} {row['fiscal_year']}", "is_numeric": True, "numeric_value": float(row["value"]), "citations": [row["accession_number"]] if row["accession_number"] else []})
+            elif r.step.tool == "filing_retriever":
+                out.append({"text": (row["text"] or "")[:200], "is_numeric": False, "numeric_value": None, "citations": [row["filing_id"]]})
+            elif r.step.tool == "calculator":
+                out.append({"text": f"{row['expression']} = {row['result']}", "is_numeric": True, "numeric_value": row["result"], "citations": [row["expression"]]})
+            elif r.step.tool == "filing_diff":
+                out.append({"text": f"{len(row['added'])} paragraphs added, {len(row['removed'])} removed, {row['common']} in common", "is_numeric": False, "numeric_value": None, "citations": []})
+    return out
+
+
+def stream_answer(
+    spark: SparkSession, sf: str, question: str, planner: Callable[[str, list[str]], list[Step]] | None = None, synthesiser: Callable[[list[Result]], list[dict]] = claims_from,
+    tools: dict[str, Callable[..., DataFrame]] | None = None, most_refinements: int = 3,
+) -> Iterator[dict]:
+    """Typed events of one question: plan, (tool_call, tool_result)*, reflection, synthesis, done or error.
+
+    The planner receives the question and what the last attempt lacked. Refinements are counted,
+    not passes; the last event holds the answer.
+    """
+    trace = uuid.uuid4().hex
+    event = lambda kind, n, **data: {"type": kind, "data": data, "trace_id": trace, "iteration": n, "timestamp": time.time()}
+    lacking: list[str] = []
+    if not question.strip():
+        yield event("error", 0, message="empty question")
+        return
+    for n in range(most_refinements + 1):
+        try:
+            plan = (planner(question, lacking) if planner else default_plan(question)) or default_plan(question)
+        except Exception as x:  # noqa: BLE001
+            yield event("error", n, message=str(x)[:500])
+            return
+        yield event("plan", n, steps=[s.tool for s in plan])
+        results = []
+        for r in run_steps(spark, sf, plan, tools):
+            yield event("tool_call", n, tool=r.step.tool, inputs=r.step.inputs)
+            yield event("tool_result", n, tool=r.step.tool, rows=len(r.rows), error=r.error)
+            results.append(r)
+        lacking = incomplete(plan, results)
+        claims = synthesiser(results)
+        lacking += [f"not cited: {t}" for t in uncited(claims)]
+        yield event("reflection", n, complete=not lacking, lacking=lacking)
+        if not lacking or n == most_refinements:
+            yield event("synthesis", n, claims=len(claims))
+            answer = Answer(question, claims, list(dict.fromkeys(r.step.tool for r in results if not r.error)), n, trace, [r.error for r in results if r.error])
+            yield event("done", n, answer=answer)
+            return
+
+
+def answer(spark: SparkSession, sf: str, question: str, **kwargs) -> Answer:
+    """The answer at the end of :func:`stream_answer`; raises ValueError for an empty question."""
+    last = list(stream_answer(spark, sf, question, **kwargs))[-1]
+    if last["type"] == "error":
+        raise ValueError(last["data"]["message"])
+    return last["data"]["answer"]

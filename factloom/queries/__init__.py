@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("integrity", "facts", "ingest", "text", "search")
+MODULES = ("integrity", "facts", "ingest", "text", "search", "quality", "streams")
 
 
 def collect() -> tuple[dict, dict]:

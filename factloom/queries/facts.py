@@ -9,6 +9,7 @@ from factloom.functions import calc
 from factloom.functions.concepts import tag_rows, tag_table
 from factloom.operators import facts as op
 from factloom.operators.predicates import any_of, where
+from factloom.operators.quantiles import exact_median
 from factloom.sources.tables import table
 
 _YEARS = (2015, 2016, 2017, 2018, 2019)
@@ -143,10 +144,11 @@ def calc_named_ops(spark: SparkSession, sf: str) -> DataFrame:
 def calc_aggregates(spark: SparkSession, sf: str) -> DataFrame:
     rows = _facts(spark, sf).where("value IS NOT NULL")
     v = F.col("value").cast("double")
-    return rows.groupBy("canonical_concept").agg(
+    sums = rows.groupBy("canonical_concept").agg(
         F.sum("value").cast("double").alias("sum_value"), F.round(F.sum("value").cast("double") / F.count("value"), 4).alias("mean_value"),
-        F.percentile(v, 0.5).alias("median_value"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.count("value").alias("n_values"),
+        F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.count("value").alias("n_values"),
     )
+    return sums.join(exact_median(rows.withColumn("value", v), ["canonical_concept"], "value", "median_value"), "canonical_concept")
 
 
 def calc_expression(spark: SparkSession, sf: str) -> DataFrame:

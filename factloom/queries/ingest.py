@@ -46,7 +46,7 @@ def facts_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     """Facts kept by the unique key of the fact table, per year; rows with a NULL in the key never conflict."""
     keys = ["cik", "canonical_concept", "period_start", "period_end", "form", "accession_number"]
     f = table(spark, sf, "xbrl_facts").select(*keys, "id", "fiscal_year")
-    kept = op.insert_ignore(f.limit(0), f, keys)
+    kept = op.insert_ignore(None, f, keys)
     return kept.groupBy("fiscal_year").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
