@@ -1,0 +1,76 @@
+from __future__ import annotations
+
+import json
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from factloom import api
+from factloom.plans import engine
+from factloom.plans.engine import Step
+
+SF = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+
+
+def frame_tool(spark, sf, n):
+    if n < 0:
+        raise ValueError("negative")
+    return spark.range(n).select(F.lit("A").alias("ticker"), F.lit("revenue").alias("canonical_concept"), F.lit(2020).alias("fiscal_year"), F.col("id").alias("value"), F.lit("acc").alias("accession_number"))
+
+
+TOOLS = {"xbrl_sql": frame_tool}
+
+
+def events(spark, planner, **kw):
+    return list(engine.stream_answer(spark, "", "q", planner=planner, tools=TOOLS, **kw))
+
+
+def test_complete_at_once(spark):
+    got = events(spark, lambda q, lacking: [Step("xbrl_sql", {"n": 2})])
+    assert [e["type"] for e in got] == ["plan", "tool_call", "tool_result", "reflection", "synthesis", "done"]
+    assert len({e["trace_id"] for e in got}) == 1
+    a = got[-1]["data"]["answer"]
+    assert len(a.claims) == 2 and a.used_tools == ["xbrl_sql"] and a.refinements == 0
+
+
+def test_errors_are_kept_and_refined(spark):
+    seen = []
+
+    def planner(q, lacking):
+        seen.append(list(lacking))
+        return [Step("xbrl_sql", {"n": -1 if len(seen) < 3 else 1}), Step("xbrl_sql", {"n": 1})]
+
+    a = events(spark, planner)[-1]["data"]["answer"]
+    assert len(seen) == 3 and "negative" in seen[1][0] and a.refinements == 2 and a.errors == []
+
+
+def test_refinements_are_bounded(spark):
+    got = events(spark, lambda q, lacking: [Step("nothing")], most_refinements=2)
+    assert sum(e["type"] == "plan" for e in got) == 3 and got[-1]["type"] == "done" and got[-1]["data"]["answer"].errors
+
+
+def test_zero_rows_are_complete_and_planner_errors_end(spark):
+    assert events(spark, lambda q, lacking: [Step("xbrl_sql", {"n": 0})])[-1]["data"]["answer"].refinements == 0
+    assert events(spark, lambda q, lacking: 1 / 0)[-1]["type"] == "error"
+    with pytest.raises(ValueError):
+        engine.answer(spark, "", " ")
+
+
+def test_checks():
+    claim = {"text": "t", "is_numeric": True, "numeric_value": 1.0, "citations": []}
+    assert engine.uncited([claim]) == ["t"] and engine.incomplete([Step("a"), Step("b")], []) == ["no result of a", "no result of b"]
+
+
+@tables
+def test_api(spark):
+    assert api.health(spark, SF)["companies"] == 10 and api.version()
+    universe = api.tickers(spark, SF)
+    api.check_universe([universe[0].lower()], universe)
+    with pytest.raises(ValueError, match="NOPE"):
+        api.check_universe(["nope"], universe)
+    lines = list(api.query_stream(spark, SF, "statutory lenders and pensions"))
+    assert json.loads(lines[-1][6:])["type"] == "done"
+    a = api.query(spark, SF, "revenue", planner=lambda q, lacking: [Step("xbrl_sql", {"concepts": "revenue"}), Step("calculator", {"expression": "2 * 3"})])
+    assert a.used_tools == ["xbrl_sql", "calculator"] and any(c["numeric_value"] == 6 for c in a.claims)
