@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import connected_components
-from factloom.llm.textarrays import runs, slices, word_hashes
+from factloom.llm.textarrays import mixed, runs, slices, word_hashes
 from factloom.session import cut_lineage
 
 _EPS = 1e-9
@@ -33,12 +33,14 @@ _EPS = 1e-9
 def _shingle_sets(run_words: int, least_words: int):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+            texts, sets = [t or "" for t in batch["text"]], batch["set"].tolist()
+            salts = {s: np.frombuffer(hashlib.blake2b(str(s).encode(), digest_size=8).digest(), np.uint64)[0] for s in set(sets)}
             for a, b in slices(texts):
                 words, owner = word_hashes(texts[a:b])
                 counts = np.bincount(owner, minlength=b - a)
                 shingles, first = runs(words, owner, run_words)
                 of = owner[first] if len(first) else first
+                shingles = mixed(shingles + np.asarray([salts[s] for s in sets[a:b]], np.uint64)[of]) if len(first) else shingles
                 order = np.lexsort((shingles, of))
                 shingles, of = shingles[order], of[order]
                 bounds = np.searchsorted(of, np.arange(b - a + 1))
@@ -47,15 +49,20 @@ def _shingle_sets(run_words: int, least_words: int):
                     if counts[d] < least_words or bounds[d] == bounds[d + 1]:
                         continue
                     own = np.unique(shingles[bounds[d] : bounds[d + 1]]).view(np.int64)
-                    rows.append((batch["set"].iat[a + d], batch["id"].iat[a + d], hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), own))
-                yield pd.DataFrame(rows, columns=["set", "id", "class", "n", "shingles"])
+                    rows.append((sets[a + d], batch["id"].iat[a + d], hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), own))
+                yield pd.DataFrame(rows, columns=["set", "id", "digest", "n", "shingles"])
 
     return make
 
 
 def shingle_sets(texts: DataFrame, run_words: int = 5, least_words: int = 20) -> DataFrame:
-    """(set, id, class, n, shingles) of texts of at least ``least_words`` words; class stands for the shingle set."""
-    return texts.where("text IS NOT NULL").mapInPandas(_shingle_sets(run_words, least_words), "set string, id string, class binary, n int, shingles array<long>")
+    """(c, set, id, digest, n, shingles) of texts of at least ``least_words`` words.
+
+    Shingles are hashed with their set's name, so texts of different sets share none; digest stands for
+    the shingle set; c numbers the rows and is stable once the rows are written.
+    """
+    rows = texts.where("text IS NOT NULL").mapInPandas(_shingle_sets(run_words, least_words), "set string, id string, digest binary, n int, shingles array<long>")
+    return rows.select(F.monotonically_increasing_id().alias("c"), "*")
 
 
 def _prefix(n: Column, share: float) -> Column:
@@ -67,49 +74,53 @@ def _pseudorandom(shingles: str, order: int) -> Column:
     return F.array_sort(F.transform(shingles, lambda t: F.xxhash64(t, F.lit(order))))
 
 
+def _prefix_postings(classes: DataFrame, threshold: float) -> DataFrame:
+    """(c, n, pos, token): shared shingles among each class's first ones in the rarest-first order.
+
+    Shingles of one class alone come first in that order and are never joined: they only count, as
+    the places before the first shared one.
+    """
+    tokens = classes.select("c", "n", F.explode("shingles").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = tokens.join(shared, "token").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    taken = F.greatest(_prefix(F.col("n"), threshold) - alone, F.lit(0))
+    return ordered.select("c", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), taken)).alias("i", "x")).select("c", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.token").alias("token"))
+
+
 def similar_classes(classes: DataFrame, threshold: float = 0.8, orders: int = 3) -> DataFrame:
-    """(set, a, b, similarity) of all pairs of classes with Jaccard similarity >= threshold, a < b.
+    """(a, b, similarity) of all pairs of classes with Jaccard similarity >= threshold, a < b.
 
-    ``classes`` holds one row per class: set, class, n, shingles. ``orders`` counts the global
-    orders, the rarest-first one included.
+    ``classes`` holds one row per class: c, n, shingles. ``orders`` counts the global orders, the
+    rarest-first one included.
     """
-    tokens = classes.select("set", "class", "n", F.explode("shingles").alias("token"))
-    rarity = tokens.groupBy("set", "token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (
-        tokens.join(rarity, ["set", "token"])
-        .groupBy("set", "class", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
-        .select("set", "class", "n", F.posexplode(F.slice("ordered", F.lit(1), _prefix(F.col("n"), threshold))).alias("pos", "x"))
-        .where("x.df > 1")
-        .select("set", "class", "n", "pos", F.col("x.token").alias("token"))
-    )
-    small = ranked.where(F.col("pos") < _prefix(F.col("n"), 2 * threshold / (1 + threshold)))
-    a, b = small.alias("a"), ranked.alias("b")
+    posts = _prefix_postings(classes, threshold)
+    a, b = posts.where(F.col("pos") < _prefix(F.col("n"), 2 * threshold / (1 + threshold))).alias("a"), posts.alias("b")
     needed = (F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS)
-    candidates = (
+    candidates = cut_lineage(
         a.join(
             b,
-            (F.col("a.set") == F.col("b.set")) & (F.col("a.token") == F.col("b.token"))
-            & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class") < F.col("b.class"))))
+            (F.col("a.token") == F.col("b.token"))
+            & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c"))))
             & (F.col("a.n") >= F.col("b.n") * threshold - _EPS)
             & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= needed),
         )
-        .select(F.col("a.set").alias("set"), F.col("a.class").alias("a"), F.col("b.class").alias("b"))
+        .select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
         .distinct()
-    )
+    )
     more = [F.slice(_pseudorandom("shingles", k), F.lit(1), _prefix(F.col("n"), threshold)).alias(f"p{k}") for k in range(1, orders)]
-    sides = classes.select("set", "class", "shingles", *more)
-    left = sides.select("set", F.col("class").alias("a"), F.col("shingles").alias("sa"), *[F.col(f"p{k}").alias(f"pa{k}") for k in range(1, orders)])
-    right = sides.select("set", F.col("class").alias("b"), F.col("shingles").alias("sb"), *[F.col(f"p{k}").alias(f"pb{k}") for k in range(1, orders)])
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    sides = classes.join(asked, "c", "left_semi").select("c", "shingles", *more)
+    left, right = (sides.select(F.col("c").alias(e), F.col("shingles").alias(f"s{e}"), *[F.col(f"p{k}").alias(f"p{k}{e}") for k in range(1, orders)]) for e in "ab")
     passed = F.lit(True)
     for k in range(1, orders):
-        passed = passed & F.arrays_overlap(f"pa{k}", f"pb{k}")
+        passed = passed & F.arrays_overlap(f"p{k}a", f"p{k}b")
     common = F.size(F.array_intersect("sa", "sb"))
     similarity = F.when(passed, common / (F.size("sa") + F.size("sb") - common))
     return (
-        candidates.join(left, ["set", "a"])
-        .join(right, ["set", "b"])
-        .select("set", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similarity.alias("similarity"))
+        candidates.join(left, "a")
+        .join(right, "b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similarity.alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
 
@@ -118,16 +129,19 @@ def near_duplicates(texts: DataFrame, run_words: int = 5, threshold: float = 0.8
     """(members, links) of near-duplicate texts within each set.
 
     ``texts``: set, id, text. Members: set, id, class for each text of at least ``least_words``
-    words. Links: set, a, b, similarity between classes (a < b); texts of one class have equal
-    shingle sets. NULL, empty and shorter texts are no members; repeated rows are members of the same
-    class; texts of different sets are never linked. Very long texts are one row like any other.
+    words; class is a number, the same for texts with equal shingle sets. Links: a, b, similarity
+    between classes (a < b). NULL, empty and shorter texts are no members; repeated rows are members
+    of the same class; texts of different sets are never linked. Very long texts are one row like
+    any other. An empty table gives two empty results.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     docs = cut_lineage(shingle_sets(texts, run_words, least_words))
-    classes = docs.groupBy("set", "class").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
-    links = cut_lineage(similar_classes(classes, threshold, orders))
-    return docs.select("set", "id", "class"), links
+    repeated = docs.groupBy("digest").agg(F.min("c").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    members = docs.select("c", "set", "id", "digest").join(repeated, "digest", "left").select("c", "set", "id", F.coalesce("first", "c").alias("class"))
+    copies = members.where("c <> class").select("c")
+    links = cut_lineage(similar_classes(docs.join(copies, "c", "left_anti").select("c", "n", "shingles"), threshold, orders))
+    return members.select("set", "id", "class"), links
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -136,29 +150,22 @@ def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     The result is the sum of products of class sizes; use :func:`duplicate_groups` where pairs of
     copies need not be listed.
     """
-    same = members.select("set", F.col("class").alias("a"), F.col("class").alias("b")).groupBy("set", "a", "b").count().where("count > 1").drop("count")
-    pairs = links.select("set", "a", "b").unionByName(same)
+    same = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
+    pairs = links.select("a", "b").unionByName(same)
     a = members.select("set", F.col("class").alias("a"), F.col("id").alias("x"))
-    b = members.select("set", F.col("class").alias("b"), F.col("id").alias("y"))
-    both = pairs.join(a, ["set", "a"]).join(b, ["set", "b"]).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    b = members.select(F.col("class").alias("b"), F.col("id").alias("y"))
+    both = pairs.join(a, "a").join(b, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return both.select("set", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a <> id_b").distinct()
 
 
 def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per text: set, id, class (hex), group (hex of the least class linked to it, directly or
-    through others), links (linked classes) and copies (texts of its class)."""
-    node = lambda c: F.concat(F.coalesce("set", F.lit("")), F.lit("/"), F.lower(F.hex(c)))
-    ends = links.select(node("a").alias("u"), node("b").alias("v"))
-    component = connected_components(ends, "u", "v")
-    degree = ends.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    copies = members.groupBy("set", "class").agg(F.count(F.lit(1)).alias("copies"))
-    return (
-        members.join(copies, ["set", "class"])
-        .withColumn("node", node("class"))
-        .join(component, "node", "left")
-        .join(degree, "node", "left")
-        .select("set", "id", F.lower(F.hex("class")).alias("class"), F.substring_index(F.coalesce("component", "node"), "/", -1).alias("group"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    )
+    """One row per text: set, id, class, group (the least class linked to it, directly or through others),
+    links (classes linked to its class) and copies (texts of its class)."""
+    component = connected_components(links, "a", "b").withColumnRenamed("node", "class")
+    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    copies = members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
+    rows = members.join(copies, "class").join(component, "class", "left").join(degree, "class", "left")
+    return rows.select("set", "id", "class", F.coalesce("component", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
 
 
 def prefix_length(n: int, threshold: float) -> int:
