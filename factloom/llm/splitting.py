@@ -73,10 +73,10 @@ def cut(text: str, limit: int, overlap: int, least_share: float = 0.5) -> list[t
         return [(0, len(text), "end")] if text else []
     ends = boundaries(text)
     token_starts = np.asarray([m.start() for m in _TOKEN.finditer(text)], np.int64)
-    out, start = [], 0
+    out, start, done = [], 0, 0
     while len(text) - start > limit:
         stop, kind = start + limit, "hard"
-        for least in (start + int(limit * least_share), start + overlap):
+        for least in (max(done, start + int(limit * least_share)), max(done, start + overlap)):
             for name, places in zip(KINDS, ends):
                 i = int(np.searchsorted(places, start + limit, side="right")) - 1
                 if i >= 0 and places[i] > least:
@@ -88,7 +88,8 @@ def cut(text: str, limit: int, overlap: int, least_share: float = 0.5) -> list[t
         back = stop - overlap
         i = int(np.searchsorted(token_starts, back, side="right")) - 1
         natural = int(token_starts[i]) if i >= 0 else back
-        start = natural if start < natural and back - natural < overlap else max(back, start + 1)
+        start = natural if start < natural and back - natural < overlap and stop - natural < limit else max(back, start + 1)
+        done = stop
     out.append((start, len(text), "end"))
     return out
 
