@@ -7,6 +7,8 @@ and block of rows. Neither side passes through the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,3 +61,22 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, vec_id: str = "vec_id",
     kind = dict(q.dtypes)["id"]
     best = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(_best(k), f"query {kind}, doc {kind}, score double")
     return top_k(best, k)
+
+
+def embed(df: DataFrame, doc_id: str, text: str, embedder: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """(doc_id, embedding): unit vectors of each text from an injected embedder, called with ``batch`` texts at a time.
+
+    The embedder is made once per task if it caches its model itself. NULL texts are embedded as empty ones.
+    """
+    kind = dict(df.dtypes)[doc_id]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), batch):
+                part = b.iloc[i : i + batch]
+                v = np.asarray(embedder([t or "" for t in part["text"]]), np.float64)
+                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": list((v / np.where(norm > 0, norm, 1)).astype(np.float32))})
+
+    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", doc_id)

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions.numbers import extract_numbers
 from factloom.operators import search, vectors
 from factloom.operators.predicates import where
+from factloom.plans import ablation
 from factloom.sources.tables import table
 
 _K = 10
@@ -97,7 +99,17 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(F.col("query").alias("item_id"), F.col("doc").alias("chunk_id"), "filing_id", "bm25_rank", "dense_rank", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (fts_and_match, bm25_topk, cover_density_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_topk)}
+def eval_by_config(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation items with a gold amount under the lexical and the hybrid configuration."""
+    e = table(spark, sf, "eval_items").where("item_id % 50 = 0")
+    gold = F.get(extract_numbers("gold_answer"), F.lit(0))["value"]
+    questions = e.select("item_id", "tier", F.col("question").alias("text"), gold.alias("gold")).withColumnRenamed("item_id", "id")
+    docs = _docs(spark, sf).withColumnRenamed("doc_id", "id")
+    first, second = (ablation.evaluate(questions, docs, c, term_vector) for c in ablation.CONFIGS[:2])
+    return first.unionByName(second)
+
+
+QUERIES = {f.__name__: f for f in (fts_and_match, bm25_topk, cover_density_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_topk, eval_by_config)}
 
 _STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
 _WORDS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
