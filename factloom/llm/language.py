@@ -37,6 +37,7 @@ SPELLINGS = {
 ORDERS = (1, 2, 3, 4)
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 _WINDOW = 1 << 19
+_MOST_AGAINST = 40.0
 
 
 @dataclass(frozen=True)
@@ -127,6 +128,16 @@ def train(samples: DataFrame, text: str = "text", lang: str = "lang", bits: int
 _SENTENCE = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[”’」』]*|\n[^\S\n]*\n)")
 
 
+_MARKUP = re.compile(r"<[^<>]*>|[\u200b-\u200f\u2060-\u2064\ufeff\xad]")
+
+
+def without_markup(text: str) -> str:
+    """Tags and invisible characters as blanks, so that offsets stay."""
+    if text.isascii() and "<" not in text:
+        return text
+    return _MARKUP.sub(lambda m: " " * len(m[0]), text)
+
+
 def sentence_ends(text: str) -> list[int]:
     """Offsets at which sentences end: after closing punctuation before white space, after full-width
     punctuation, at blank lines, and at the end of the text."""
@@ -176,7 +187,12 @@ def _sentence_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.nda
 
 
 def _stretches(scores: np.ndarray, cost: float) -> list[tuple[int, int, int]]:
-    """(first, last, language) of the best division in which each stretch has two sentences or more."""
+    """(first, last, language) of the best division in which each stretch has two sentences or more.
+
+    A sentence speaks against a language by at most ``_MOST_AGAINST``, so one foreign sentence, however clear,
+    costs less inside a stretch than a stretch that takes in a neighbour for it.
+    """
+    scores = np.maximum(scores - scores.max(axis=1, keepdims=True), -_MOST_AGAINST)
     n, k = scores.shape
     if n < 4 or len(set(scores.argmax(axis=1))) == 1:
         whole = [(0, n, int(scores.sum(axis=0).argmax()))]
@@ -210,7 +226,7 @@ def _detect(shared, min_letters: int):
 
         model = shared.value
         for batch in batches:
-            ids, texts = batch["id"].tolist(), [t or "" for t in batch["text"]]
+            ids, texts = batch["id"].tolist(), [without_markup(t or "") for t in batch["text"]]
             out: list[tuple] = []
             for a, b in slices(texts):
                 scores, letters, owner, local = _sentence_scores(model, texts[a:b])
@@ -241,7 +257,7 @@ def detect_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text
     n_sentences, n_segments. A stretch has two sentences or more unless it is the whole document;
     sentences with fewer than ``min_letters`` letters, or with fewer letters than digits and marks, belong to the
     stretch around them and decide nothing. NULL, empty and letterless texts have no language and
-    give no row; the stretches of a document cover it from its first to its last character.
+    give no row; tags and invisible characters count as blanks; the stretches of a document cover it from its first to its last character.
     Repeated ids are scored row by row. Ties go to the alphabetically first language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
