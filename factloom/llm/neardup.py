@@ -71,7 +71,7 @@ def _prefix(n: Column, share: float) -> Column:
 
 def _pseudorandom(shingles: str, order: int) -> Column:
     """The set under another global order: sorted by a hash of each shingle."""
-    return F.array_sort(F.transform(shingles, lambda t: F.xxhash64(t, F.lit(order))))
+    return F.sort_array(F.transform(shingles, lambda t: F.xxhash64(t, F.lit(order))))
 
 
 def _prefix_postings(classes: DataFrame, threshold: float) -> DataFrame:
