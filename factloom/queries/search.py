@@ -94,7 +94,7 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     lexical = search.top_k(search.bm25(posts, search.query_terms(queries, "id", "text")).withColumn("score", F.round("score", 9)), 20)
     dense = vectors.nearest(queries.select("id", term_vector(F.col("text")).alias("v")), chunks.select("id", term_vector(F.col("text")).alias("v")), 20, "id", "v")
     fused = search.fuse([lexical, dense], ["bm25", "dense"]).where("rank <= 20")
-    enriched = fused.join(chunks.withColumnRenamed("id", "doc"), "doc").join(F.broadcast(queries.select(F.col("id").alias("query"), F.col("text").alias("question"))), "query")
+    enriched = fused.join(chunks.withColumnRenamed("id", "doc"), "doc").join(queries.select(F.col("id").alias("query"), F.col("text").alias("question")), "query")
     best = search.rerank(enriched.withColumnRenamed("rank", "fused_rank"), search.term_overlap(F.col("question"), F.col("text")), _K)
     return best.select(F.col("query").alias("item_id"), F.col("doc").alias("chunk_id"), "filing_id", "bm25_rank", "dense_rank", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
