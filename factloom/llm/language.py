@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import spread
+
 #: Usual spellings of a language label beside its two-letter code: three letters and English names (fixed values).
 SPELLINGS = {
     "en": ("eng", "english"),
@@ -266,7 +268,7 @@ def detect_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text
         docs = docs.limit(0)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
     schema = f"id {kind}, seg_no long, lang string, confidence double, char_start long, char_end long, n_sentences long, n_segments long"
-    return rows.mapInPandas(_detect(shared, min_letters), schema).withColumnRenamed("id", doc_id)
+    return spread(rows).mapInPandas(_detect(shared, min_letters), schema).withColumnRenamed("id", doc_id)
 
 
 def canonical_language(label: Column) -> Column:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.textarrays import mixed, normalised, runs, slices, word_hashes
+from factloom.llm.textarrays import mixed, normalised, slices, word_hashes
+from factloom.session import spread
 
 SHINGLE = 5
 #: (least words of a document, minima per MinHash), from the smallest partition to the largest.
@@ -123,7 +124,7 @@ def leaked_items(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", t
     ids repeated in several rows count as one document with all their texts.
     """
     kinds = dict(docs.dtypes)[doc_id], dict(passages.dtypes)[item_id]
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    texts = spread(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
     items = passages.select(F.col(item_id).alias("id"), F.col(passage).alias("text")).where("text IS NOT NULL")
     doc_keys = texts.mapInPandas(_sketches(run_words, False), f"id {kinds[0]}, r int, key long")
     item_keys = items.mapInPandas(_sketches(run_words, True), f"id {kinds[1]}, r int, key long").distinct()

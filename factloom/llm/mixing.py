@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, spread
 
 #: Pre-tokenisation pattern of the byte-level BPE vocabulary used by default (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -42,13 +42,18 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken", folder: str | None = Non
     return str(base / name)
 
 
+def load_tokenizer(path: str):
+    """The byte-level BPE encoding of a rank file."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def _count_tokens(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = load_tokenizer(path)
         for batch in batches:
             counts = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch["text"]]
             yield pd.DataFrame({"source": batch["source"], "doc_id": batch["doc_id"], "tokens": np.asarray(counts, np.int64)})
@@ -65,8 +70,8 @@ def document_tokens(docs: DataFrame, targets: DataFrame, path: str, doc_id: str
     """(source, doc_id, tokens) of documents from a target source; NULL and empty texts have no tokens."""
     listed = targets.select(canonical_source(F.col("source")).alias("source")).distinct()
     kind = dict(docs.dtypes)[doc_id]
-    rows = docs.select(canonical_source(F.col(source)).alias("source"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(listed, "source", "left_semi")
-    return rows.mapInPandas(_count_tokens(path), f"source string, doc_id {kind}, tokens long")
+    rows = spread(docs.select(canonical_source(F.col(source)).alias("source"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    return rows.join(listed, "source", "left_semi").mapInPandas(_count_tokens(path), f"source string, doc_id {kind}, tokens long")
 
 
 def with_offsets(counted: DataFrame) -> DataFrame:
@@ -97,6 +102,35 @@ def blocks(counted: DataFrame, block_tokens: int) -> DataFrame:
     return pieces.select("source", "block", "doc_id", (lo - start).alias("token_from"), (hi - start).alias("token_to"))
 
 
+def _cut_tokens(path: str, block_tokens: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoding = load_tokenizer(path)
+        for batch in batches:
+            out = []
+            for source, text, start in zip(batch["source"], batch["text"], batch["first_token"]):
+                ids, at = np.asarray(encoding.encode_ordinary(text), np.int32), 0
+                while at < len(ids):
+                    block, inside = divmod(start + at, block_tokens)
+                    part = ids[at : at + block_tokens - inside]
+                    out.append((source, block, inside, part))
+                    at += len(part)
+            yield pd.DataFrame(out, columns=["source", "block", "place", "ids"])
+
+    return run
+
+
+def token_blocks(docs: DataFrame, counted: DataFrame, path: str, block_tokens: int, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(source, block, tokens): the token ids of each block, in order; ids must be unique here.
+
+    The blocks of :func:`blocks` with their content; what is gathered per block is its fixed length.
+    """
+    texts = docs.select(canonical_source(F.col(source)).alias("source"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    placed = texts.join(with_offsets(counted.where("tokens > 0")).select("doc_id", "source", "first_token"), ["doc_id", "source"]).select("source", "text", "first_token")
+    parts = placed.mapInPandas(_cut_tokens(path, block_tokens), "source string, block long, place int, ids array<int>")
+    ordered = F.array_sort(F.collect_list(F.struct("place", "ids")))
+    return parts.groupBy("source", "block").agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("tokens"))
+
+
 def plan_sources(counted: DataFrame, targets: DataFrame, block_tokens: int) -> list[dict]:
     """One entry per target source: what it has, wants and can give. As many as there are sources."""
     sums = counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
@@ -202,6 +236,18 @@ def mixed_slots(counts: DataFrame, plan: list[dict], seed: int) -> DataFrame:
     return slots.withColumn("block", F.when(inside_cap, permute("source", "pass", F.expr("i % blocks"), "blocks"))).select("shard", "slot", "source", "pass", "block")
 
 
+def mixed_sequences(docs: DataFrame, targets: DataFrame, block_tokens: int = 512, shard_slots: int = 1024, seed: int = 17, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(shard, slot, source, pass, tokens): the mix of :func:`mix_sources` as token sequences, ready to train on.
+
+    Ids must be unique. Unfilled slots give no row.
+    """
+    path = tokenizer or tokenizer_file()
+    counted = cut_lineage(document_tokens(docs, targets, path, doc_id, text, source))
+    plan = plan_sources(counted, targets, block_tokens)
+    slots = mixed_slots(draw_counts(docs.sparkSession, plan, seed, shard_slots), plan, seed).where("block IS NOT NULL")
+    return slots.join(token_blocks(docs, counted, path, block_tokens, doc_id, text, source), ["source", "block"]).select("shard", "slot", "source", "pass", "tokens")
+
+
 def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 512, shard_slots: int = 1024, seed: int = 17, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(mix, report).
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.components import connected_components
 from factloom.llm.textarrays import mixed, runs, slices, word_hashes
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, spread
 
 _EPS = 1e-9
 
@@ -61,7 +61,7 @@ def shingle_sets(texts: DataFrame, run_words: int = 5, least_words: int = 20) ->
     Shingles are hashed with their set's name, so texts of different sets share none; digest stands for
     the shingle set; c numbers the rows and is stable once the rows are written.
     """
-    rows = texts.where("text IS NOT NULL").mapInPandas(_shingle_sets(run_words, least_words), "set string, id string, digest binary, n int, shingles array<long>")
+    rows = spread(texts.where("text IS NOT NULL")).mapInPandas(_shingle_sets(run_words, least_words), "set string, id string, digest binary, n int, shingles array<long>")
     return rows.select(F.monotonically_increasing_id().alias("c"), "*")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.keys import accession_key
 from factloom.llm import language
 from factloom.llm.leakage import leaked_items
-from factloom.llm.mixing import mix_sources
+from factloom.llm.mixing import mix_sources, mixed_sequences
 from factloom.llm.neardup import duplicate_groups, expand_pairs, near_duplicates
 from factloom.llm.splitting import oversized, split_texts
 from factloom.llm.survivors import best_representatives
@@ -88,6 +88,10 @@ def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[0]
 
 
+def p7_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed_sequences(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
@@ -130,6 +134,7 @@ QUERIES = {
     "p6_leaked_items": p6_leaked_items,
     "p7_found": p7_found,
     "p7_mix": p7_mix,
+    "p7_sequences": p7_sequences,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_languages": p8_languages,

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import spread
+
 KINDS = ("paragraph", "line", "sentence", "word", "hard")
 _LINE_END = re.compile(r"\r\n|\n|\r")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[”’」』]*")
@@ -123,7 +125,7 @@ def split_texts(df: DataFrame, item_id: str, text: str, limit: int = 4096, overl
         raise ValueError("overlap must be smaller than the limit")
     kind = dict(df.dtypes)[item_id]
     rows = df.select(F.col(item_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    return rows.mapInPandas(_split(limit, overlap), f"id {kind}, piece_no int, piece_start int, piece_end int, cut string, text string, forced_paragraphs long, n_pieces int")
+    return spread(rows).mapInPandas(_split(limit, overlap), f"id {kind}, piece_no int, piece_start int, piece_end int, cut string, text string, forced_paragraphs long, n_pieces int")
 
 
 def oversized(df: DataFrame, text: str | Column, limit: int = 4096) -> DataFrame:

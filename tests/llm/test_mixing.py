@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pandas as pd
 import pytest
 
-from factloom.llm.mixing import _permuted, blocks, mix_sources, with_offsets
+from factloom.llm.mixing import _permuted, blocks, document_tokens, load_tokenizer, mix_sources, mixed_sequences, token_blocks, tokenizer_file, with_offsets
 
 DOCS = "doc_id long, text string, source string, tokens long, block int"
 TARGETS = "source string, target_share double, max_repeats int, docs int"
@@ -54,6 +54,22 @@ def test_blocks_hold_every_token_once(spark):
     assert size["t", 0] == 3
 
 
+def test_sequences_are_the_texts(spark):
+    docs, targets = make(spark)
+    path = tokenizer_file()
+    counted = document_tokens(docs, targets, path)
+    rows = sorted(token_blocks(docs, counted, path, 64).where("source = 'middle_one'").collect(), key=lambda r: r.block)
+    order = [r.doc_id for r in with_offsets(counted).where("source = 'middle_one'").orderBy("first_token").collect()]
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert load_tokenizer(path).decode([t for r in rows for t in r.tokens]) == "".join(text[i] for i in order)
+    assert all(len(r.tokens) == 64 for r in rows[:-1])
+    seq, mix = mixed_sequences(docs, targets, 64, 32).collect(), mix_sources(docs, targets, 64, 32)[0].collect()
+    size = Counter()
+    for r in mix:
+        size[r.shard, r.slot, r.source] += r.token_to - r.token_from
+    assert {(r.shard, r.slot, r.source): len(r.tokens) for r in seq} == dict(size)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_permutation(n):
     p = _permuted(3)
