@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def accession_key(col: Column) -> Column:
     """Accession number without hyphens and blanks; NULL for NULL and blank ones, which refer to nothing."""
-    bare = F.regexp_replace(col, r"[-\s]", "")
-    return F.when(bare != "", bare)
+    return F.nullif(F.translate(col, "- \t\n\u000b\f\r", ""), F.lit(""))
 
 
 def cik_key(col: Column) -> Column:
@@ -25,15 +24,9 @@ def uuid_key(col: Column) -> Column:
 
 
 def digest(*cols: Column) -> Column:
-    """16 bytes that stand for a tuple of values; NULL is a value of its own.
-
-    Each part is written as its length and text, so no two tuples share a rendering.
-    """
-    parts = []
-    for c in cols:
-        text = c.cast("string")
-        parts.append(F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text)))
-    return F.unhex(F.md5(F.concat_ws("|", *parts)))
+    """128 bits, as a struct of two longs, that stand for a tuple of values; NULL is a value of its own."""
+    parts = [x for c in cols for x in (c, c.isNull())]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2"))
 
 
 def age(col: Column, kind: str) -> Column:
