@@ -8,7 +8,7 @@ time, a value known to follow a dated one comes right after it, and undated valu
 each other by their topological level. The survivor, and the value of each field, are then taken
 from the topologically latest rows among the most complete ones.
 
-Rows are grouped by a 16 byte digest of the key and every step reduces (group, field, value)
+Rows are grouped by a 128 bit digest of the key and every step reduces (group, field, value)
 before it orders, so a hot group reaches an ordered window only as its distinct field values:
 tags, units, periods and forms of a taxonomy, not records.
 """
