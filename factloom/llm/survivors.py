@@ -8,9 +8,9 @@ time, a value known to follow a dated one comes right after it, and undated valu
 each other by their topological level. The survivor, and the value of each field, are then taken
 from the topologically latest rows among the most complete ones.
 
-Rows are grouped by a 128 bit digest of the key and every step reduces (group, field, value)
-before it orders, so a hot group reaches an ordered window only as its distinct field values:
-tags, units, periods and forms of a taxonomy, not records.
+Rows are grouped by a 128 bit digest of the key. What is learned comes from the distinct (group, field,
+time, value), so a value that returns counts again; a hot group is cut into hours for that. Elsewhere
+(group, field, value) is reduced before it is ordered: tags, units, periods and forms of a taxonomy, not records.
 """
 
 from __future__ import annotations
@@ -49,19 +49,33 @@ def _states(members: DataFrame, n_fields: int) -> DataFrame:
     )
 
 
-def learn_precedence(states: DataFrame) -> DataFrame:
-    """(field, before, after, support, against) learned from consecutive dated states of each group.
+def _steps(members: DataFrame, n_fields: int) -> DataFrame:
+    """(field, prev, state): every step of a group from a value to another one at the next time that has any.
 
-    A pair whose two directions are equally frequent stays unordered and gives no row. States that
-    share their latest time are no step.
+    Of several values at one time each is a step's end. Only fields with two values or more in their group are
+    unrolled. A group is ordered hour by hour, and the hours by their first and last values, so no
+    window holds more of a hot group than an hour or the calendar.
     """
-    by_time = Window.partitionBy("grp", "field").orderBy("seen", "state")
-    steps = (
-        states.where(F.col("seen").isNotNull())
-        .withColumn("prev", F.lag("state").over(by_time))
-        .withColumn("prev_seen", F.lag("seen").over(by_time))
-        .where(F.col("prev_seen") < F.col("seen"))
-    )
+    dated = members.where(F.col("at").isNotNull())
+    changing = [(F.min(f"f{i}") < F.max(f"f{i}")).alias(f"c{i}") for i in range(n_fields)]
+    varied = dated.groupBy("grp").agg(*changing).where(" OR ".join(f"c{i}" for i in range(n_fields)))
+    parts = ", ".join(f"{i}, CASE WHEN c{i} THEN f{i} END" for i in range(n_fields))
+    values = dated.join(varied, "grp").selectExpr("grp", "at", f"stack({n_fields}, {parts}) AS (field, state)").where("state IS NOT NULL")
+    times = values.groupBy("grp", "field", "at").agg(F.collect_set("state").alias("states")).withColumn("hour", F.date_trunc("hour", "at"))
+    hours = times.groupBy("grp", "field", "hour").agg(F.min_by("states", "at").alias("states"), F.max_by("states", "at").alias("last"))
+    within = times.withColumn("prev", F.lag("states").over(Window.partitionBy("grp", "field", "hour").orderBy("at")))
+    across = hours.withColumn("prev", F.lag("last").over(Window.partitionBy("grp", "field").orderBy("hour")))
+    pairs = within.select("field", "prev", "states").unionByName(across.select("field", "prev", "states"))
+    return pairs.select("field", "states", F.explode("prev").alias("prev")).select("field", "prev", F.explode("states").alias("state")).where("prev <> state")
+
+
+def learn_precedence(members: DataFrame, n_fields: int) -> DataFrame:
+    """(field, before, after, support, against) learned from the steps of all groups.
+
+    A pair whose two directions are equally frequent stays unordered and gives no row. Values that
+    share a time are no step.
+    """
+    steps = _steps(members, n_fields)
     rising = F.col("prev") < F.col("state")
     return (
         steps.groupBy("field", F.least("prev", "state").alias("lo"), F.greatest("prev", "state").alias("hi"))
@@ -141,7 +155,7 @@ def currency_ranked(members: DataFrame, fields: Sequence[str], time_type: str) -
     """
     n = len(fields)
     states = _states(members, n)
-    precedence = learn_precedence(states)
+    precedence = learn_precedence(members, n)
     placed = members.join(_undated_places(members, states, precedence, n), ["grp", "id"], "left")
     at = F.coalesce("at", F.col("anchor.seen"))
     currency = F.struct(

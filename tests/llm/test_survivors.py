@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -70,3 +72,30 @@ def test_hot_group_repeated_rows_and_empty(spark):
     got, _ = run(spark, rows)
     assert got["hot"].survivor_id == "0699" and got["hot"].n_records == 1501
     assert run(spark, []) == ({}, [])
+
+
+def test_returning_values_are_steps(spark):
+    hours = [dt.datetime(2020, 1, 1, h, m) for h, m in ((1, 0), (1, 30), (1, 45), (3, 0), (9, 0), (9, 1))]
+    rows = [("g", str(i), 1, at, v, "u") for i, (at, v) in enumerate(zip(hours, "ABAABA"))]  # A-B, B-A, A-B, B-A within hours and across them
+    rows += [("h", str(i), 1, day(i), v, "u") for i, v in enumerate("CDC")] + [("i", str(i), 1, day(i), v, "u") for i, v in enumerate("CD")]
+    assert run(spark, rows)[1] == [(0, "C", "D", 2, 1)]
+
+
+def test_steps_from_every_value_of_a_time(spark):
+    rows = [("g", "1", 1, day(1), "A", "u"), ("g", "2", 1, day(1), "B", "u"), ("g", "3", 1, day(2), "A", "u"), ("g", "4", 1, day(2), "C", "u")]
+    assert run(spark, rows)[1] == [(0, "A", "C", 1, 0), (0, "B", "A", 1, 0), (0, "B", "C", 1, 0)]
+
+
+def test_steps_against_a_loop(spark):
+    rnd = random.Random(5)
+    rows = [(f"g{rnd.randrange(6)}", f"{i:04d}", 1, dt.datetime(2020, 1, 1) + dt.timedelta(minutes=20 * rnd.randrange(90)), rnd.choice(["A", "B", "C", None]), rnd.choice("uv")) for i in range(300)]
+    count = Counter()
+    for g in {r[0] for r in rows}:
+        for f in (0, 1):
+            at = {}
+            for r in rows:
+                if r[0] == g and r[4 + f] is not None:
+                    at.setdefault(r[3], set()).add(r[4 + f])
+            times = sorted(at)
+            count.update((f, a, b) for s, t in zip(times, times[1:]) for a in at[s] for b in at[t] if a != b)
+    assert run(spark, rows)[1] == sorted((f, a, b, n, count[f, b, a]) for (f, a, b), n in count.items() if n > count[f, b, a])
