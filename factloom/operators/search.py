@@ -44,15 +44,19 @@ def match_all(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.where("n = n_terms").select("query", "doc")
 
 
-def bm25(posts: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, doc, score): BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); any term may match."""
+def bm25(posts: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75, few_terms: bool = False) -> DataFrame:
+    """(query, doc, score): BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); any term may match.
+
+    ``few_terms``: the queries' terms are broadcast with their frequencies, so postings stay where they are.
+    """
+    small = F.broadcast if few_terms else lambda x: x
     per_doc = posts.groupBy("doc").agg(F.first("len").alias("len"))
     n_docs, avg_len = per_doc.select(F.count(F.lit(1))).scalar(), per_doc.select(F.avg("len")).scalar()
     wanted = terms.select("term").distinct()
-    df = posts.join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = posts.join(small(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-    rows = posts.join(terms, "term").join(df, "term")
+    rows = posts.join(small(terms), "term").join(small(df), "term")
     return rows.groupBy("query", "doc").agg(F.sum(idf * tf).alias("score"))
 
 

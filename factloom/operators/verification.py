@@ -67,14 +67,18 @@ def faithfulness(claims: Column) -> Column:
     return F.when(F.size(numeric) == 0, 1.0).otherwise(F.size(cited) / F.size(numeric))
 
 
+def gold_error(gold: Column, value: Column) -> Column:
+    """Error of a value in percent of max(|gold|, 1)."""
+    return F.abs(value - gold) / F.greatest(F.abs(gold), F.lit(1.0)) * 100
+
+
 def numeric_accuracy(gold: Column, values: Column, tolerance_pct: float = 0.5) -> Column:
     """struct(matched, error_pct) of the numeric claims' values against a gold value.
 
     NULLs without a gold value; false without a value. Here the error is relative to max(|gold|, 1); a match
     reports the first value within the tolerance, a miss the closest.
     """
-    err = lambda v: F.abs(v - gold) / F.greatest(F.abs(gold), F.lit(1.0)) * 100
-    errors = F.transform(values, err)
+    errors = F.transform(values, lambda v: gold_error(gold, v))
     near = F.filter(errors, lambda e: e <= tolerance_pct)
     out = lambda ok, e: F.struct(ok.cast("boolean").alias("matched"), e.cast("double").alias("error_pct"))
     none = F.lit(None)

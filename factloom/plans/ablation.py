@@ -1,7 +1,8 @@
-"""Questions under several configurations, set-wise: one lazy plan per configuration.
+"""Questions under several configurations.
 
-Configurations with planning and reflection run question by question through :mod:`factloom.plans.engine`,
-for which a planner must be injected; the straight pipelines here need none.
+The straight pipelines run set-wise over all questions. Configurations with planning and reflection run question by
+question through :mod:`factloom.plans.engine`, for which a planner must be injected. A configuration with a flag
+that the path can't honour raises ValueError.
 """
 
 from __future__ import annotations
@@ -13,11 +14,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.keys import accession_key
 from factloom.functions.numbers import extract_numbers
 from factloom.operators import evaluation as ev
 from factloom.operators import search, vectors
 from factloom.operators import verification as vf
+from factloom.operators.facts import query_facts
 from factloom.plans import engine
+from factloom.session import cut_lineage
+from factloom.sources.tables import table
+
+# Fixed value: the concept of the facts step, whatever the question asks for.
+FACTS_CONCEPT = "revenue"
 
 
 @dataclass(frozen=True)
@@ -39,11 +47,27 @@ CONFIGS = (
 )
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, config: Config, vector: Callable[[Column], Column], k: int = 10, pool: int = 20) -> DataFrame:
-    """(query, doc, rank, text) of questions (id, text) over chunks (id, text) as the configuration has it."""
-    posts = search.postings(chunks, "id", "text")
-    best = search.top_k(search.bm25(posts, search.query_terms(questions, "id", "text")).withColumn("score", F.round("score", 9)), pool)
+def lexical(questions: DataFrame, chunks: DataFrame, pool: int = 20) -> DataFrame:
+    """(query, doc, score, rank): the best chunks of each question by BM25.
+
+    Texts are dealt out by id beforehand, so the scores of many questions are summed and cut to the best where
+    the text is, and are not shuffled.
+    """
+    posts = search.postings(chunks.repartition("id"), "id", "text")
+    return search.top_k(search.bm25(posts, search.query_terms(questions, "id", "text"), few_terms=True).withColumn("score", F.round("score", 9)), pool)
+
+
+def retrieve(
+    questions: DataFrame, chunks: DataFrame, config: Config, vector: Callable[[Column], Column] | None, k: int = 10, pool: int = 20, found: DataFrame | None = None
+) -> DataFrame:
+    """(query, doc, rank, text) of questions (id, text) over chunks (id, text) as the configuration has it.
+
+    ``found``: the result of :func:`lexical`, if it is there already.
+    """
+    best = lexical(questions, chunks, pool) if found is None else found
     if config.use_dense:
+        if vector is None:
+            raise ValueError(f"{config.name}: dense retrieval needs a vector")
         dense = vectors.nearest(questions.select("id", vector(F.col("text")).alias("v")), chunks.select("id", vector(F.col("text")).alias("v")), pool, "id", "v")
         best = search.fuse([best, dense], ["bm25", "dense"]).where(F.col("rank") <= pool)
     rows = best.select("query", "doc", "rank").join(chunks.select(F.col("id").alias("doc"), "text"), "doc")
@@ -54,18 +78,79 @@ def retrieve(questions: DataFrame, chunks: DataFrame, config: Config, vector: Ca
     return rows.where(F.col("rank") <= k)
 
 
-def evaluate(questions: DataFrame, chunks: DataFrame, config: Config, vector: Callable[[Column], Column]) -> DataFrame:
-    """config, id, tier, numerical_match, error_pct, faithfulness, failure_mode of each question.
+def fact_claims(questions: DataFrame, facts: DataFrame, companies: DataFrame, tolerance_pct: float = 0.5) -> DataFrame:
+    """id, n_facts, n_cited, least_error, hit_error: the revenue facts of each question as claims against its gold value.
 
-    ``questions``: id, tier, text, gold (a number or NULL). The answer's numbers are those of the best text.
+    Questions may have arrays ``tickers`` and ``fiscal_years``; missing, NULL and empty ones are no filter. A fact without
+    an accession number is a claim without citation. hit_error is that of the first fact within the
+    tolerance, by ticker, period end and id; NULL where none is. Questions are broadcast; facts are reduced to a row
+    per question before the shuffle.
     """
-    found = retrieve(questions.select("id", "text"), chunks, config, vector)
-    top = found.where("rank = 1").select(F.col("query").alias("id"), F.transform(extract_numbers("text"), lambda x: x["value"]).alias("values"))
+    asked = questions.select("id", "gold", *[F.col(c).alias(f"_{c}") for c in ("tickers", "fiscal_years") if c in questions.columns])
+    known = query_facts(facts, companies, FACTS_CONCEPT).where("value IS NOT NULL")
+    known = known.select("ticker", "fiscal_year", "period_end", F.col("id").alias("fact"), F.col("value").cast("double").alias("value"), accession_key(F.col("accession_number")).isNotNull().alias("cited"))
+    open_ = lambda c: (F.coalesce(F.size(c), F.lit(0)) <= 0)
+    meant = F.lit(True)
+    for many, one in (("_tickers", "ticker"), ("_fiscal_years", "fiscal_year")):
+        if many in asked.columns:
+            meant = meant & (open_(many) | F.array_contains(many, F.col(one)))
+    pairs = known.join(F.broadcast(asked), meant).withColumn("error", vf.gold_error(F.col("gold"), F.col("value")))
+    counts = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_facts"), F.count_if("cited").alias("n_cited"), F.min("error").alias("least_error"))
+    hits = pairs.where(F.col("error") <= tolerance_pct).groupBy("id").agg(F.min_by("error", F.struct("ticker", "period_end", "fact")).alias("hit_error"))
+    return counts.join(hits, "id", "left")
+
+
+def evaluate_all(
+    questions: DataFrame, chunks: DataFrame, configs: Sequence[Config], vector: Callable[[Column], Column], facts: DataFrame | None = None, companies: DataFrame | None = None
+) -> DataFrame:
+    """config, id, tier, numerical_match, error_pct, faithfulness, failure_mode of each question under each configuration.
+
+    ``questions``: id, tier, text, gold (a number or NULL), and the filters of :func:`fact_claims`. The answer's numeric claims are
+    the numbers of the best text, which cite it, then, with ``use_xbrl``, a number per fact, which cites its filing.
+    The facts are evidence of the same answer: as in the reference, its only tool is the retriever.
+    What configurations have in common is retrieved once.
+    """
+    for c in configs:
+        if c.use_agentic or c.use_reflection:
+            raise ValueError(f"{c.name}: planning and reflection are run by run_agentic")
+        if c.use_xbrl and (facts is None or companies is None):
+            raise ValueError(f"{c.name}: the facts step needs facts and companies")
+    asked = questions.select("id", "text")
+    first = cut_lineage(lexical(asked, chunks))
+    best: dict[tuple[bool, bool], DataFrame] = {}
+    out = None
+    for c in configs:
+        how = (c.use_dense, c.use_reranker)
+        if how not in best:
+            best[how] = cut_lineage(retrieve(asked, chunks, c, vector, found=first).where("rank = 1"))
+        scored = _scored(questions, best[how], c, fact_claims(questions, facts, companies) if c.use_xbrl else None)
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def evaluate(questions: DataFrame, chunks: DataFrame, config: Config, vector: Callable[[Column], Column], facts: DataFrame | None = None, companies: DataFrame | None = None) -> DataFrame:
+    """:func:`evaluate_all` under one configuration."""
+    return evaluate_all(questions, chunks, [config], vector, facts, companies)
+
+
+def _scored(questions: DataFrame, best: DataFrame, config: Config, claims: DataFrame | None) -> DataFrame:
+    top = best.select(F.col("query").alias("id"), "doc", F.transform(extract_numbers("text"), lambda x: x["value"]).alias("values"))
     rows = questions.join(top, "id", "left").withColumn("acc", vf.numeric_accuracy(F.col("gold"), F.col("values")))
+    if claims is None:
+        rows = rows.select("*", F.lit(0).alias("n_facts"), F.lit(0).alias("n_cited"), *[F.lit(None).cast("double").alias(c) for c in ("least_error", "hit_error")])
+    else:
+        rows = rows.join(claims, "id", "left").fillna(0, ["n_facts", "n_cited"])
+    in_text = F.when(F.col("values").isNull(), 0).otherwise(F.size("values"))
+    n = in_text + F.col("n_facts")
+    cited = F.when(F.col("doc").isNull(), 0).otherwise(in_text) + F.col("n_cited")
+    matched = F.col("acc.matched") | (F.col("gold").isNotNull() & F.col("hit_error").isNotNull())
+    error = F.when(F.col("acc.matched"), F.col("acc.error_pct")).otherwise(F.coalesce("hit_error", F.least("acc.error_pct", "least_error")))
     tools = F.array(F.lit("filing_retriever"))
-    n = F.coalesce(F.size("values"), F.lit(0))
-    mode = ev.classify_failure(F.col("values").isNotNull(), F.array().cast("array<string>"), F.col("acc.matched"), F.col("gold").isNotNull(), n, n, tools)
-    return rows.select(F.lit(config.name).alias("config"), "id", "tier", F.col("acc.matched").alias("numerical_match"), "acc.error_pct", F.lit(1.0).alias("faithfulness"), mode.alias("failure_mode"))
+    mode = ev.classify_failure(F.col("values").isNotNull() | (F.col("n_facts") > 0), F.array().cast("array<string>"), matched, F.col("gold").isNotNull(), n, n, tools)
+    return rows.select(
+        F.lit(config.name).alias("config"), "id", "tier", matched.alias("numerical_match"), error.alias("error_pct"),
+        F.when(n == 0, 1.0).otherwise(cited / n).alias("faithfulness"), mode.alias("failure_mode"),
+    )
 
 
 def clamp_score(score: Column, has_gold: Column) -> Column:
@@ -73,11 +158,29 @@ def clamp_score(score: Column, has_gold: Column) -> Column:
     return F.when(has_gold, F.greatest(F.lit(0), F.least(F.lit(3), score.cast("int")))).otherwise(-1)
 
 
-def run_agentic(spark: SparkSession, sf: str, questions: Sequence[str], config: Config, planner: Callable) -> list[dict]:
-    """Latency, tools and claims of a bounded list of questions answered by the engine; at most 1000."""
-    out = []
-    for q in questions[:1000]:
+def agentic_tools(config: Config, vector: Callable[[Column], Column] | None) -> dict[str, Callable[..., DataFrame]]:
+    """The engine's tools as the configuration has them: its retrieval, and facts only with ``use_xbrl``."""
+
+    def filing_retriever(spark: SparkSession, sf: str, query: str, top_k: int = 10) -> DataFrame:
+        if not 1 <= top_k <= 50:
+            raise ValueError("top_k must be between 1 and 50")
+        chunks = table(spark, sf, "chunks").groupBy("id").agg(F.first("text").alias("text"), F.first("filing_id").alias("filing_id"))
+        asked = spark.createDataFrame([("0", query)], "id string, text string")
+        found = retrieve(asked, chunks.select("id", "text"), config, vector, top_k, max(20, top_k))
+        return found.join(chunks.select(F.col("id").alias("doc"), "filing_id"), "doc").orderBy("rank")
+
+    return {name: tool for name, tool in engine.TOOLS.items() if config.use_xbrl or name != "xbrl_sql"} | {"filing_retriever": filing_retriever}
+
+
+def run_agentic(spark: SparkSession, sf: str, questions: Sequence[str], config: Config, planner: Callable, vector: Callable[[Column], Column] | None = None) -> list[dict]:
+    """Latency, tools and claims of every question of a list, answered one after the other by the engine."""
+    if not config.use_agentic:
+        raise ValueError(f"{config.name}: straight configurations are run by evaluate")
+    if config.use_dense and vector is None:
+        raise ValueError(f"{config.name}: dense retrieval needs a vector")
+    out, tools = [], agentic_tools(config, vector)
+    for q in questions:
         began = time.monotonic()
-        a = engine.answer(spark, sf, q, planner=planner, most_refinements=3 if config.use_reflection else 0)
+        a = engine.answer(spark, sf, q, planner=planner, tools=tools, most_refinements=3 if config.use_reflection else 0)
         out.append({"question": q, "config": config.name, "latency_ms": (time.monotonic() - began) * 1000, "used_tools": a.used_tools, "n_claims": len(a.claims), "tool_errors": a.errors})
     return out
