@@ -1,173 +1,283 @@
 """Near-duplicate texts by prefix filtering under several global token orders.
 
-A text is its set of hashed word runs (shingles). If two sets have a Jaccard similarity of t or
-more, then under *any* global order of the shingles their prefixes share one: the first 
-``n - ceil(t n) + 1`` of a set, and for the smaller set of the pair even its first
-``n - ceil(2t/(1+t) n) + 1``. Candidates are generated under the rarest-first order, where prefixes
-hold what few texts have in common, with the size and position bounds as join conditions. They must
-then also share a prefix shingle under further, pseudorandom orders; what passes all filters is
-verified on the full sets. No filter can lose a pair.
-
-Texts with equal sets form one class and only classes are compared, so copies in any number cost one
-row. Shingles that one class alone has stay in the order but are never joined.
+A text is its set of hashed word runs (shingles). If two sets have a Jaccard similarity of t or more, then under *any*
+global order of the shingles their prefixes, the first ``n - ceil(t n) + 1`` of each, share one. Candidates must share a
+prefix shingle under each of several orders: all put rare shingles first, by the counts of hashed buckets, and differ
+in how they break ties. One set of postings serves all orders, each row marked with the orders under which its shingle is
+in the prefix, so the filters of all orders are intersected while the pairs are put together. How many prefix shingles a
+pair shares bounds what the rest can add, and pairs that can't reach t are dropped before any text is fetched.
+What is left is verified on the whole texts. No filter can lose a pair.
+
+1. Scan: shingles counted into a fixed number of buckets, a bounded array per task; the class (same words in the same
+   order) of each text. The summed array is broadcast: its size is ``BUCKETS``, whatever the data.
+2. Scan: prefix postings of one text per class, in the order of that array. Only they are shuffled, once, by shingle.
+3. The texts of surviving candidates are joined to them and compared.
+
+A shingle that may be in more than a share of all texts is split over salts by its bucket's count, so that no task gets
+more than that share of one side. Copies cost one row each.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import connected_components
 from factloom.llm.textarrays import mixed, runs, slices, word_hashes
-from factloom.session import cut_lineage, spread
+from factloom.session import cut_lineage
 
+BUCKETS, BLOCKS = 1 << 20, 64
+#: A shingle's postings are split where its bucket counts more than the larger of this and a 256th of all texts.
+HOT, HOT_SHARE = 4096, 256
+#: Most row digests that are broadcast to pick out texts; beyond it the texts are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _EPS = 1e-9
+_KEY_BITS = np.uint64((1 << 48) - 1)
+
+
+def _salt(name: object) -> np.uint64:
+    return np.frombuffer(hashlib.blake2b(str(name).encode(), digest_size=8).digest(), np.uint64)[0]
+
+
+def _shingled(batches: Iterator[pd.DataFrame], run_words: int, least_words: int) -> Iterator[tuple[pd.DataFrame, list, list]]:
+    """Per slice of texts: the rows that count, the class digest of each, and its shingles as they come."""
+    for batch in batches:
+        texts, salts = batch["text"].tolist(), {s: _salt(s) for s in set(batch["set"])}
+        salt = np.asarray([salts[s] for s in batch["set"]], np.uint64)
+        for a, b in slices(texts):
+            words, owner = word_hashes(texts[a:b])
+            shingles, first = runs(words, owner, run_words)
+            of = owner[first] if len(first) else first
+            shingles = mixed(shingles + salt[a:b][of]) if len(first) else shingles
+            at, upto = np.searchsorted(owner, np.arange(b - a + 1)), np.searchsorted(of, np.arange(b - a + 1))
+            kept = [d for d in range(b - a) if at[d + 1] - at[d] >= least_words and upto[d + 1] > upto[d]]
+            marks = [hashlib.blake2b(salt[a + d].tobytes() + words[at[d] : at[d + 1]].tobytes(), digest_size=16).digest() for d in kept]
+            yield batch.iloc[[a + d for d in kept]], marks, [shingles[upto[d] : upto[d + 1]] for d in kept]
+
+
+def _survey(run_words: int, least_words: int):
+    """Texts with their class, and at the end of each task the counts of its shingles by bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for rows, marks, sets in _shingled(batches, run_words, least_words):
+            if sets:
+                counts += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            c, d = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2).T
+            yield rows[["set", "id", "r1", "r2"]].assign(c=c, d=d, block=-1, counts=None)
+        if counts.any():
+            blocks = [zlib.compress(x.astype(np.min_scalar_type(int(x.max()))).tobytes(), 1) for x in counts.reshape(BLOCKS, -1)]
+            yield pd.DataFrame({"set": None, "id": None, "r1": 0, "r2": 0, "c": 0, "d": 0, "block": range(BLOCKS), "counts": blocks})
+
+    return run
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per block, added up as the rows stream by."""
+    width, total = BUCKETS // BLOCKS, {}
+    for batch in batches:
+        for block, packed in zip(batch["block"], batch["counts"]):
+            raw = zlib.decompress(packed)
+            kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(raw) // width]
+            total[block] = total.get(block, 0) + np.frombuffer(raw, kind).astype(np.int64)
+    yield pd.DataFrame({"block": list(total), "counts": [x.tobytes() for x in total.values()]})
+
+
+def bucket_counts(survey: DataFrame) -> np.ndarray:
+    """How often a shingle of each bucket occurs in all texts: ``BUCKETS`` numbers, whatever the data."""
+    rows = survey.where("block >= 0").select("block", "counts").repartition(F.col("block")).mapInPandas(_summed, "block int, counts binary").collect()
+    out = np.zeros((BLOCKS, BUCKETS // BLOCKS), np.int64)
+    for r in rows:
+        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
 
 
-def _shingle_sets(run_words: int, least_words: int):
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, sets = [t or "" for t in batch["text"]], batch["set"].tolist()
-            salts = {s: np.frombuffer(hashlib.blake2b(str(s).encode(), digest_size=8).digest(), np.uint64)[0] for s in set(sets)}
-            for a, b in slices(texts):
-                words, owner = word_hashes(texts[a:b])
-                counts = np.bincount(owner, minlength=b - a)
-                shingles, first = runs(words, owner, run_words)
-                of = owner[first] if len(first) else first
-                shingles = mixed(shingles + np.asarray([salts[s] for s in sets[a:b]], np.uint64)[of]) if len(first) else shingles
-                order = np.lexsort((shingles, of))
-                shingles, of = shingles[order], of[order]
-                bounds = np.searchsorted(of, np.arange(b - a + 1))
-                rows = []
-                for d in range(b - a):
-                    if counts[d] < least_words or bounds[d] == bounds[d + 1]:
-                        continue
-                    own = np.unique(shingles[bounds[d] : bounds[d + 1]]).view(np.int64)
-                    rows.append((sets[a + d], batch["id"].iat[a + d], hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), own))
-                yield pd.DataFrame(rows, columns=["set", "id", "digest", "n", "shingles"])
-
-    return make
-
-
-def shingle_sets(texts: DataFrame, run_words: int = 5, least_words: int = 20) -> DataFrame:
-    """(c, set, id, digest, n, shingles) of texts of at least ``least_words`` words.
-
-    Shingles are hashed with their set's name, so texts of different sets share none; digest stands for
-    the shingle set; c numbers the rows and is stable once the rows are written.
-    """
-    rows = spread(texts.where("text IS NOT NULL")).mapInPandas(_shingle_sets(run_words, least_words), "set string, id string, digest binary, n int, shingles array<long>")
-    return rows.select(F.monotonically_increasing_id().alias("c"), "*")
-
-
-def _prefix(n: Column, share: float) -> Column:
-    return (n - F.ceil(n * F.lit(share) - F.lit(_EPS)) + 1).cast("int")
-
-
-def _pseudorandom(shingles: str, order: int) -> Column:
-    """The set under another global order: sorted by a hash of each shingle."""
-    return F.sort_array(F.transform(shingles, lambda t: F.xxhash64(t, F.lit(order))))
+def prefix_length(n: int, threshold: float) -> int:
+    """Shingles of a set of n that must be looked at so that no partner is lost."""
+    return n - math.ceil(threshold * n - _EPS) + 1
 
 
-def _prefix_postings(classes: DataFrame, threshold: float) -> DataFrame:
-    """(c, n, pos, token): shared shingles among each class's first ones in the rarest-first order.
+def _postings(run_words: int, least_words: int, threshold: float, orders: int, counts, hot: int):
+    """Prefix postings of each text: key, c, n, pos, last, marks, role.
 
-    Shingles of one class alone come first in that order and are never joined: they only count, as
-    the places before the first shared one.
+    pos is the place in the first order and last the place value of the last prefix shingle in it. marks
+    has a bit for each order under which the shingle is in the prefix. Of a split shingle, one row with role 1 lies under one
+    of its salts and one with role 2 under each; other rows have role 3. A pair is made of roles 1 and 2.
     """
-    tokens = classes.select("c", "n", F.explode("shingles").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = tokens.join(shared, "token").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    alone = F.col("n") - F.size("shared")
-    taken = F.greatest(_prefix(F.col("n"), threshold) - alone, F.lit(0))
-    return ordered.select("c", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), taken)).alias("i", "x")).select("c", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.token").alias("token"))
-
-
-def similar_classes(classes: DataFrame, threshold: float = 0.8, orders: int = 3) -> DataFrame:
-    """(a, b, similarity) of all pairs of classes with Jaccard similarity >= threshold, a < b.
 
-    ``classes`` holds one row per class: c, n, shingles. ``orders`` counts the global orders, the
-    rarest-first one included.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = counts.value
+        for _, digests, sets in _shingled(batches, run_words, least_words):
+            parts = []
+            for digest, found in zip(digests, sets):
+                own = np.unique(found)
+                n, often_own = len(own), often[(own & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                take, level = prefix_length(n, threshold), np.minimum(often_own, (1 << 31) - 1).astype(np.uint64) << np.uint64(32)
+                marks = np.zeros(n, np.int8)
+                for k in range(orders):
+                    place = level | (mixed(own ^ np.uint64(k + 1)) >> np.uint64(32))
+                    if k == 0:
+                        order = np.argsort(place, kind="stable")
+                        pos, last = np.empty(n, np.int32), int(place[order[take - 1]])
+                        pos[order] = np.arange(n, dtype=np.int32)
+                        marks[order[:take]] = 1
+                    else:
+                        marks |= (place <= np.partition(place, take - 1)[take - 1]).astype(np.int8) << k
+                kept = np.flatnonzero(marks)
+                c = np.frombuffer(digest, np.int64)[0]
+                parts.append((own[kept], np.full(len(kept), c), np.full(len(kept), n, np.int32), pos[kept], np.full(len(kept), last), marks[kept], often_own[kept]))
+            if not parts:
+                continue
+            key, c, n, pos, last, marks, df = (np.concatenate(x) for x in zip(*parts))
+            salts = np.minimum(-(-df // hot), HOT_SHARE)
+            role = np.where(salts > 1, 1, 3).astype(np.int8)
+            salted = np.where(salts > 1, mixed(key + c.view(np.uint64) % np.maximum(salts, 1).astype(np.uint64) + np.uint64(1)), key)
+            many = np.flatnonzero(salts > 1)
+            if len(many):
+                again = np.repeat(many, salts[many])
+                which = np.arange(len(again)) - np.repeat(np.cumsum(salts[many]) - salts[many], salts[many])
+                salted = np.concatenate([salted, mixed(key[again] + which.astype(np.uint64) + np.uint64(1))])
+                c, n, pos, last, marks = (np.concatenate([x, x[again]]) for x in (c, n, pos, last, marks))
+                role = np.concatenate([role, np.full(len(again), 2, np.int8)])
+            yield pd.DataFrame({"key": (salted & _KEY_BITS).view(np.int64), "c": c, "n": n, "pos": pos, "last": last, "marks": marks, "role": role})
+
+    return run
+
+
+def candidate_pairs(postings: DataFrame, threshold: float, orders: int) -> DataFrame:
+    """(a, b) of classes that share prefix shingles under every order, and enough of them under the first.
+
+    Sizes and, for each shared shingle, what can be shared before and after it bound the overlap; all shingles that a
+    similar pair shares pass these bounds, so their number is exact for it. Beyond the prefix that ends first, the
+    pair shares no more than that set has left.
     """
-    posts = _prefix_postings(classes, threshold)
-    a, b = posts.where(F.col("pos") < _prefix(F.col("n"), 2 * threshold / (1 + threshold))).alias("a"), posts.alias("b")
-    needed = (F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS)
-    candidates = cut_lineage(
-        a.join(
-            b,
-            (F.col("a.token") == F.col("b.token"))
-            & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c"))))
-            & (F.col("a.n") >= F.col("b.n") * threshold - _EPS)
-            & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= needed),
-        )
-        .select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
-        .distinct()
+    a, b = postings.alias("a"), postings.alias("b")
+    needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS))
+    before, after = F.least("a.pos", "b.pos"), F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    ends_first = F.when(F.col("a.last") < F.col("b.last"), F.col("a.n")).when(F.col("a.last") > F.col("b.last"), F.col("b.n")).otherwise(F.greatest("a.n", "b.n"))
+    left = F.ceil(ends_first * F.lit(threshold) - F.lit(_EPS)) - 1
+    marks = F.col("a.marks").bitwiseAND(F.col("b.marks"))
+    pairs = a.join(
+        b,
+        (F.col("a.key") == F.col("b.key"))
+        & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c"))))
+        & (F.col("a.n") >= F.col("b.n") * threshold - _EPS)
+        & (F.col("a.role").bitwiseAND(F.shiftright("b.role", 1)) == 1)
+        & (marks != 0)
+        & (before + after >= needed),
     )
-    more = [F.slice(_pseudorandom("shingles", k), F.lit(1), _prefix(F.col("n"), threshold)).alias(f"p{k}") for k in range(1, orders)]
-    asked = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    sides = classes.join(asked, "c", "left_semi").select("c", "shingles", *more)
-    left, right = (sides.select(F.col("c").alias(e), F.col("shingles").alias(f"s{e}"), *[F.col(f"p{k}").alias(f"p{k}{e}") for k in range(1, orders)]) for e in "ab")
-    passed = F.lit(True)
-    for k in range(1, orders):
-        passed = passed & F.arrays_overlap(f"p{k}a", f"p{k}b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    similarity = F.when(passed, common / (F.size("sa") + F.size("sb") - common))
     return (
-        candidates.join(left, "a")
-        .join(right, "b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similarity.alias("similarity"))
-        .where(F.col("similarity") >= threshold)
+        pairs.select(F.col("a.c").alias("a"), F.col("b.c").alias("b"), (needed - left).cast("int").alias("least"), marks.alias("marks"))
+        .groupBy("a", "b")
+        .agg(F.max("least").alias("least"), F.bit_or("marks").alias("marks"), F.sum(F.col("marks").bitwiseAND(F.lit(1))).alias("shared"))
+        .where((F.col("marks") == (1 << orders) - 1) & (F.col("shared") >= F.col("least")))
+        .select("a", "b")
     )
 
 
+def _picked(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``texts`` joined with ``rows`` on the row's digest: the rows are broadcast if few, else both are shuffled."""
+    few = rows.count() <= BROADCAST_ROWS
+    return texts.join(F.broadcast(rows) if few else rows, ["r1", "r2"], how)
+
+
+def _similarity(run_words: int, threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = dict(zip(batch["a"], batch["text_a"])) | dict(zip(batch["b"], batch["text_b"]))
+            known, keys, body = {}, list(texts), list(texts.values())
+            for x, y in slices(body):
+                words, owner = word_hashes(body[x:y])
+                shingles, first = runs(words, owner, run_words)
+                upto = np.searchsorted(owner[first] if len(first) else first, np.arange(y - x + 1))
+                known |= {keys[x + d]: np.unique(shingles[upto[d] : upto[d + 1]]) for d in range(y - x)}
+            common = np.asarray([len(np.intersect1d(known[a], known[b], assume_unique=True)) for a, b in zip(batch["a"], batch["b"])], np.int64)
+            total = np.asarray([len(known[a]) + len(known[b]) for a, b in zip(batch["a"], batch["b"])], np.int64) - common
+            out = batch[["set", "name_a", "name_b"]].assign(similarity=common / np.maximum(total, 1))
+            yield out[out["similarity"] >= threshold - 1e-12]
+
+    return run
+
+
 def near_duplicates(texts: DataFrame, run_words: int = 5, threshold: float = 0.8, least_words: int = 20, orders: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, links) of near-duplicate texts within each set.
 
-    ``texts``: set, id, text. Members: set, id, class for each text of at least ``least_words``
-    words; class is a number, the same for texts with equal shingle sets. Links: a, b, similarity
-    between classes (a < b). NULL, empty and shorter texts are no members; repeated rows are members
-    of the same class; texts of different sets are never linked. Very long texts are one row like
-    any other. An empty table gives two empty results.
+    ``texts``: set, id, text. Members: set, id, class and copies for each text of at least ``least_words`` words; class is
+    the least id of the set's texts with the same words in the same order (a digest where none has an id), copies how
+    many they are. Links: set, a, b, similarity between classes, a < b. NULL, empty and shorter texts are no members; a
+    NULL set is a set of its own. Repeated rows are members of the same class; texts of different sets are never
+    linked. Very long texts are one row like any other. An empty table gives two empty results.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    docs = cut_lineage(shingle_sets(texts, run_words, least_words))
-    repeated = docs.groupBy("digest").agg(F.min("c").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    members = docs.select("c", "set", "id", "digest").join(repeated, "digest", "left").select("c", "set", "id", F.coalesce("first", "c").alias("class"))
-    copies = members.where("c <> class").select("c")
-    links = cut_lineage(similar_classes(docs.join(copies, "c", "left_anti").select("c", "n", "shingles"), threshold, orders))
-    return members.select("set", "id", "class"), links
+    if not 1 <= orders <= 7:
+        raise ValueError("orders must be 1 to 7")
+    row = [F.xxhash64(F.lit(i), "set", "id", "text").alias(f"r{i}") for i in (1, 2)]
+    rows = texts.where("text IS NOT NULL").select("set", "id", "text", *row)
+    survey = cut_lineage(rows.mapInPandas(_survey(run_words, least_words), "set string, id string, r1 long, r2 long, c long, d long, block int, counts binary"))
+    placed = survey.where("block < 0")
+    first = F.min(F.struct("r1", "r2"))
+    classes = placed.groupBy("c", "d").agg(F.coalesce(F.min("id"), F.hex(F.min("c"))).alias("class"), F.count(F.lit(1)).alias("copies"), first.alias("first"))
+    members = cut_lineage(placed.join(classes, ["c", "d"]).select("set", "id", "r1", "r2", "c", "class", "copies", (F.struct("r1", "r2") == F.col("first")).alias("is_first")))
+
+    counts = texts.sparkSession.sparkContext.broadcast(bucket_counts(survey))
+    hot = max(HOT, -(-members.count() // HOT_SHARE))
+    postings = _picked(rows, members.where("NOT is_first").select("r1", "r2").distinct(), "left_anti").mapInPandas(
+        _postings(run_words, least_words, threshold, orders, counts, hot), "key long, c long, n int, pos int, last long, marks byte, role byte"
+    )
+    pairs = cut_lineage(candidate_pairs(postings, threshold, orders))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = cut_lineage(members.where("is_first").select("r1", "r2", "c", "class").distinct().join(asked, "c"))
+    found = _picked(rows, wanted, "inner").select("c", "set", F.col("class").alias("name"), "text")
+    left = found.select(F.col("c").alias("a"), "set", F.col("name").alias("name_a"), F.col("text").alias("text_a"))
+    right = found.select(F.col("c").alias("b"), F.col("name").alias("name_b"), F.col("text").alias("text_b"))
+    links = pairs.join(left, "a").join(right, "b").mapInPandas(_similarity(run_words, threshold), "set string, name_a string, name_b string, similarity double")
+    links = links.groupBy("set", F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).agg(F.max("similarity").alias("similarity"))
+    return members.select("set", "id", "class", "copies"), cut_lineage(links)
+
+
+_NO_SET = "\u0000"
 
 
-def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+def _named(df: DataFrame) -> DataFrame:
+    """A NULL set under a name of its own, so that it can be joined."""
+    return df.withColumn("set", F.coalesce("set", F.lit(_NO_SET)))
+
+
+def expand_pairs(members: DataFrame, links: DataFrame, part: int = 1000) -> DataFrame:
     """(set, id_a, id_b), smaller id first, of all linked texts, copies included.
 
-    The result is the sum of products of class sizes; use :func:`duplicate_groups` where pairs of
-    copies need not be listed.
+    The result is the sum of products of class sizes, which is what asking for pairs of copies means; use
+    :func:`duplicate_groups` where they need not be listed. Of a large class every ``part`` copies are a task's
+    share: the other side's rows go to each of them.
     """
-    same = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
-    pairs = links.select("a", "b").unionByName(same)
-    a = members.select("set", F.col("class").alias("a"), F.col("id").alias("x"))
-    b = members.select(F.col("class").alias("b"), F.col("id").alias("y"))
-    both = pairs.join(a, "a").join(b, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-    return both.select("set", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a <> id_b").distinct()
+    members, links = _named(members), _named(links)
+    same = members.where("copies > 1").select("set", F.col("class").alias("a"), F.col("class").alias("b")).distinct()
+    parts = F.ceil(F.col("copies") / part).cast("int")
+    y = members.select("set", F.col("class").alias("b"), F.col("id").alias("y"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    of = members.select("set", F.col("class").alias("b"), parts.alias("parts")).distinct()
+    x = members.select("set", F.col("class").alias("a"), F.col("id").alias("x"))
+    pairs = links.select("set", "a", "b").unionByName(same).join(of, ["set", "b"]).join(x, ["set", "a"])
+    both = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(y, ["set", "b", "part"]).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return both.select(F.nullif("set", F.lit(_NO_SET)).alias("set"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a <> id_b").distinct()
 
 
 def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """One row per text: set, id, class, group (the least class linked to it, directly or through others),
     links (classes linked to its class) and copies (texts of its class)."""
-    component = connected_components(links, "a", "b").withColumnRenamed("node", "class")
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    copies = members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
-    rows = members.join(copies, "class").join(component, "class", "left").join(degree, "class", "left")
-    return rows.select("set", "id", "class", F.coalesce("component", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-
-
-def prefix_length(n: int, threshold: float) -> int:
-    """Shingles of a set of n that must be looked at so that no partner is lost."""
-    return n - math.ceil(threshold * n - _EPS) + 1
+    members, links = _named(members), _named(links)
+    node = lambda c: F.struct("set", F.col(c).alias("class"))
+    component = connected_components(links.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+    component = component.select("node.set", "node.class", F.col("component.class").alias("group"))
+    degree = links.select("set", F.explode(F.array("a", "b")).alias("class")).groupBy("set", "class").agg(F.count(F.lit(1)).alias("links"))
+    rows = members.join(component, ["set", "class"], "left").join(degree, ["set", "class"], "left")
+    return rows.select(
+        F.nullif("set", F.lit(_NO_SET)).alias("set"), "id", "class", F.coalesce("group", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("links"), "copies",
+    )

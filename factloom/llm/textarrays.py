@@ -1,7 +1,8 @@
 """Words of many texts as numpy arrays, without a Python step per word.
 
 A batch of texts becomes one array of code points; a word is a maximal run of letters or digits in
-lower case, and its 64 bit hash is a sum over its characters, taken with ``np.add.reduceat``.
+lower case, and its 64 bit hash is the sum of a random number for each character times an odd one for its place, taken
+with ``np.add.reduceat``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ _TAG = re.compile(r"<[^<>]*>")
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0xFEFF, 0x00AD, 0x180E])
 _INVISIBLE_RE = re.compile("[" + "".join(map(chr, _INVISIBLE)) + "]")
 _alnum: np.ndarray | None = None
+_letters: np.ndarray | None = None
 
 
 def alnum_table() -> np.ndarray:
@@ -27,6 +29,14 @@ def alnum_table() -> np.ndarray:
     return _alnum
 
 
+def letter_table() -> np.ndarray:
+    """A random 64 bit number for each code point."""
+    global _letters
+    if _letters is None:
+        _letters = mixed(np.arange(1, 0x110001, dtype=np.uint64) * _M1)
+    return _letters
+
+
 def normalised(text: str | None) -> str:
     """Compatibility form without invisible characters, tags read as blanks."""
     if not text:
@@ -55,10 +65,14 @@ def slices(texts: list[str], most: int = 1 << 20):
         yield first, len(texts)
 
 
+def _place_table(n: int) -> np.ndarray:
+    """An odd random number for each place in a word."""
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * _M3) | np.uint64(1)
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of its text), in order. Texts are lowered here."""
     joined = "\n".join(texts).lower() if len(texts) != 1 else texts[0].lower()
-    ends = None
     lengths = [len(t) for t in texts]
     if len(joined) != sum(lengths) + max(0, len(texts) - 1):  # lower() changed a length
         texts = [t.lower() for t in texts]
@@ -70,10 +84,10 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
-    at = np.arange(len(codes), dtype=np.uint64)
-    place = at[inside] - np.repeat(starts, stops - starts).astype(np.uint64)
-    values = mixed(codes[inside].astype(np.uint64) * _M1 + (place + np.uint64(1)) * _M3)
-    offsets = np.concatenate(([0], np.cumsum(stops - starts)[:-1]))
+    sizes = stops - starts
+    offsets = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    place = np.arange(len(codes))[: offsets[-1] + sizes[-1]] - np.repeat(offsets, sizes)
+    values = letter_table()[codes[inside]] * _place_table(int(sizes.max()))[place]
     words = mixed(np.add.reduceat(values, offsets))
     ends = np.cumsum(np.asarray(lengths) + 1)
     return words, np.searchsorted(ends, starts, side="right")
