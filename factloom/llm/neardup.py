@@ -39,7 +39,8 @@ HOT, HOT_SHARE = 4096, 256
 #: Most row digests that are broadcast to pick out texts; beyond it the texts are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _EPS = 1e-9
-_KEY_BITS = np.uint64((1 << 48) - 1)
+#: 48 bits of a shingle's hash are its key.
+_KEY_BITS = np.uint64(((1 << 48) - 1) << 16)
 
 
 def _salt(name: object) -> np.uint64:
@@ -105,7 +106,8 @@ def prefix_length(n: int, threshold: float) -> int:
 
 
 def _postings(run_words: int, least_words: int, threshold: float, orders: int, counts, hot: int):
-    """Prefix postings of each text: key, c, n, pos, last, marks, role.
+    """Prefix postings of each text: c, n, last, marks, role, key, pos. What differs between the rows of a text comes
+    last and side by side, so that shuffled rows compress well.
 
     pos is the place in the first order and last the place value of the last prefix shingle in it. marks
     has a bit for each order under which the shingle is in the prefix. Of a split shingle, one row with role 1 lies under one
@@ -146,7 +148,7 @@ def _postings(run_words: int, least_words: int, threshold: float, orders: int, c
                 salted = np.concatenate([salted, mixed(key[again] + which.astype(np.uint64) + np.uint64(1))])
                 c, n, pos, last, marks = (np.concatenate([x, x[again]]) for x in (c, n, pos, last, marks))
                 role = np.concatenate([role, np.full(len(again), 2, np.int8)])
-            yield pd.DataFrame({"key": (salted & _KEY_BITS).view(np.int64), "c": c, "n": n, "pos": pos, "last": last, "marks": marks, "role": role})
+            yield pd.DataFrame({"c": c, "n": n, "last": last, "marks": marks, "role": role, "key": (salted & _KEY_BITS).view(np.int64), "pos": pos})
 
     return run
 
@@ -230,15 +232,17 @@ def near_duplicates(texts: DataFrame, run_words: int = 5, threshold: float = 0.8
     counts = texts.sparkSession.sparkContext.broadcast(bucket_counts(survey))
     hot = max(HOT, -(-members.count() // HOT_SHARE))
     postings = _picked(rows, members.where("NOT is_first").select("r1", "r2").distinct(), "left_anti").mapInPandas(
-        _postings(run_words, least_words, threshold, orders, counts, hot), "key long, c long, n int, pos int, last long, marks byte, role byte"
+        _postings(run_words, least_words, threshold, orders, counts, hot), "c long, n int, last long, marks byte, role byte, key long, pos int"
     )
     pairs = cut_lineage(candidate_pairs(postings, threshold, orders))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     wanted = cut_lineage(members.where("is_first").select("r1", "r2", "c", "class").distinct().join(asked, "c"))
-    found = _picked(rows, wanted, "inner").select("c", "set", F.col("class").alias("name"), "text")
-    left = found.select(F.col("c").alias("a"), "set", F.col("name").alias("name_a"), F.col("text").alias("text_a"))
-    right = found.select(F.col("c").alias("b"), F.col("name").alias("name_b"), F.col("text").alias("text_b"))
-    links = pairs.join(left, "a").join(right, "b").mapInPandas(_similarity(run_words, threshold), "set string, name_a string, name_b string, similarity double")
+    found = _picked(rows, wanted, "inner").select("c", "set", "class", "text")
+    x, y = found.alias("x"), found.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.c")).join(y, F.col("b") == F.col("y.c"))
+    links = both.select(
+        "a", "b", F.coalesce("x.set", "y.set").alias("set"), F.col("x.class").alias("name_a"), F.col("y.class").alias("name_b"), F.col("x.text").alias("text_a"), F.col("y.text").alias("text_b")
+    ).mapInPandas(_similarity(run_words, threshold), "set string, name_a string, name_b string, similarity double")
     links = links.groupBy("set", F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).agg(F.max("similarity").alias("similarity"))
     return members.select("set", "id", "class", "copies"), cut_lineage(links)
 
