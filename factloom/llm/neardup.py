@@ -39,8 +39,8 @@ HOT, HOT_SHARE = 4096, 256
 #: Most row digests that are broadcast to pick out texts; beyond it the texts are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _EPS = 1e-9
-#: 48 bits of a shingle's hash are its key.
-_KEY_BITS = np.uint64(((1 << 48) - 1) << 16)
+#: A posting's key is 48 bits of its shingle's hash and 16 bits of its place, where the last number stands for all from there on.
+_KEY_BITS, _FAR = np.uint64(((1 << 48) - 1) << 16), (1 << 16) - 1
 
 
 def _salt(name: object) -> np.uint64:
@@ -106,12 +106,12 @@ def prefix_length(n: int, threshold: float) -> int:
 
 
 def _postings(run_words: int, least_words: int, threshold: float, orders: int, counts, hot: int):
-    """Prefix postings of each text: c, n, last, marks, role, key, pos. What differs between the rows of a text comes
-    last and side by side, so that shuffled rows compress well.
+    """Prefix postings of each text: c, about, key; three numbers a row, for they are what is shuffled.
 
-    pos is the place in the first order and last the place value of the last prefix shingle in it. marks
-    has a bit for each order under which the shingle is in the prefix. Of a split shingle, one row with role 1 lies under one
-    of its salts and one with role 2 under each; other rows have role 3. A pair is made of roles 1 and 2.
+    about holds n, the size of the set, last, the level of the last prefix shingle in the first order, marks, with a bit for
+    each order under which the shingle is in the prefix, and role. Of a split shingle, one row with role 1 lies under one of its
+    salts and one with role 2 under each; other rows have role 3. A pair is made of roles 1 and 2. key holds the
+    shingle and its place in the first order.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,28 +127,28 @@ def _postings(run_words: int, least_words: int, threshold: float, orders: int, c
                     place = level | (mixed(own ^ np.uint64(k + 1)) >> np.uint64(32))
                     if k == 0:
                         order = np.argsort(place, kind="stable")
-                        pos, last = np.empty(n, np.int32), int(place[order[take - 1]])
-                        pos[order] = np.arange(n, dtype=np.int32)
+                        pos, last = np.empty(n, np.int64), int(8 * math.log2(often_own[order[take - 1]]))
+                        pos[order] = np.minimum(np.arange(n), _FAR)
                         marks[order[:take]] = 1
                     else:
                         marks |= (place <= np.partition(place, take - 1)[take - 1]).astype(np.int8) << k
                 kept = np.flatnonzero(marks)
                 c = np.frombuffer(digest, np.int64)[0]
-                parts.append((own[kept], np.full(len(kept), c), np.full(len(kept), n, np.int32), pos[kept], np.full(len(kept), last), marks[kept], often_own[kept]))
+                parts.append((own[kept], pos[kept], np.full(len(kept), c), (n << 24) + (min(last, 255) << 16) + (marks[kept].astype(np.int64) << 8), often_own[kept]))
             if not parts:
                 continue
-            key, c, n, pos, last, marks, df = (np.concatenate(x) for x in zip(*parts))
+            key, pos, c, about, df = (np.concatenate(x) for x in zip(*parts))
             salts = np.minimum(-(-df // hot), HOT_SHARE)
-            role = np.where(salts > 1, 1, 3).astype(np.int8)
+            role = np.where(salts > 1, 1, 3)
             salted = np.where(salts > 1, mixed(key + c.view(np.uint64) % np.maximum(salts, 1).astype(np.uint64) + np.uint64(1)), key)
             many = np.flatnonzero(salts > 1)
             if len(many):
                 again = np.repeat(many, salts[many])
                 which = np.arange(len(again)) - np.repeat(np.cumsum(salts[many]) - salts[many], salts[many])
                 salted = np.concatenate([salted, mixed(key[again] + which.astype(np.uint64) + np.uint64(1))])
-                c, n, pos, last, marks = (np.concatenate([x, x[again]]) for x in (c, n, pos, last, marks))
-                role = np.concatenate([role, np.full(len(again), 2, np.int8)])
-            yield pd.DataFrame({"c": c, "n": n, "last": last, "marks": marks, "role": role, "key": (salted & _KEY_BITS).view(np.int64), "pos": pos})
+                pos, c, about = (np.concatenate([x, x[again]]) for x in (pos, c, about))
+                role = np.concatenate([role, np.full(len(again), 2)])
+            yield pd.DataFrame({"c": c, "about": about + role, "key": (salted & _KEY_BITS).view(np.int64) | pos})
 
     return run
 
@@ -160,23 +160,27 @@ def candidate_pairs(postings: DataFrame, threshold: float, orders: int) -> DataF
     similar pair shares pass these bounds, so their number is exact for it. Beyond the prefix that ends first, the
     pair shares no more than that set has left.
     """
-    a, b = postings.alias("a"), postings.alias("b")
-    needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS))
-    before, after = F.least("a.pos", "b.pos"), F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    ends_first = F.when(F.col("a.last") < F.col("b.last"), F.col("a.n")).when(F.col("a.last") > F.col("b.last"), F.col("b.n")).otherwise(F.greatest("a.n", "b.n"))
+    bits = lambda col, low, mask: F.shiftright(col, low).bitwiseAND(F.lit(mask))
+    n, last, marks, role, pos = (
+        {e: x for e in "ab" for x in [bits(f"{e}.{col}", low, mask)]} for col, low, mask in (("about", 24, (1 << 38) - 1), ("about", 16, 255), ("about", 8, 127), ("about", 0, 3), ("key", 0, _FAR))
+    )
+    needed = F.ceil((n["a"] + n["b"]) * F.lit(threshold / (1 + threshold)) - F.lit(_EPS))
+    before, after = F.least(pos["a"], pos["b"]), F.least(n["a"] - pos["a"], n["b"] - pos["b"])
+    far = F.greatest(pos["a"], pos["b"]) == _FAR
+    ends_first = F.when(last["a"] < last["b"], n["a"]).when(last["a"] > last["b"], n["b"]).otherwise(F.greatest(n["a"], n["b"]))
     left = F.ceil(ends_first * F.lit(threshold) - F.lit(_EPS)) - 1
-    marks = F.col("a.marks").bitwiseAND(F.col("b.marks"))
-    pairs = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c"))))
-        & (F.col("a.n") >= F.col("b.n") * threshold - _EPS)
-        & (F.col("a.role").bitwiseAND(F.shiftright("b.role", 1)) == 1)
-        & (marks != 0)
-        & (before + after >= needed),
+    both = marks["a"].bitwiseAND(marks["b"])
+    pairs = postings.alias("a").join(
+        postings.alias("b"),
+        (F.shiftright("a.key", 16) == F.shiftright("b.key", 16))
+        & ((n["a"] < n["b"]) | ((n["a"] == n["b"]) & (F.col("a.c") < F.col("b.c"))))
+        & (n["a"] >= n["b"] * threshold - _EPS)
+        & (role["a"].bitwiseAND(F.shiftright(role["b"], 1)) == 1)
+        & (both != 0)
+        & (far | (before + after >= needed)),
     )
     return (
-        pairs.select(F.col("a.c").alias("a"), F.col("b.c").alias("b"), (needed - left).cast("int").alias("least"), marks.alias("marks"))
+        pairs.select(F.col("a.c").alias("a"), F.col("b.c").alias("b"), (needed - left).cast("int").alias("least"), both.alias("marks"))
         .groupBy("a", "b")
         .agg(F.max("least").alias("least"), F.bit_or("marks").alias("marks"), F.sum(F.col("marks").bitwiseAND(F.lit(1))).alias("shared"))
         .where((F.col("marks") == (1 << orders) - 1) & (F.col("shared") >= F.col("least")))
@@ -232,7 +236,7 @@ def near_duplicates(texts: DataFrame, run_words: int = 5, threshold: float = 0.8
     counts = texts.sparkSession.sparkContext.broadcast(bucket_counts(survey))
     hot = max(HOT, -(-members.count() // HOT_SHARE))
     postings = _picked(rows, members.where("NOT is_first").select("r1", "r2").distinct(), "left_anti").mapInPandas(
-        _postings(run_words, least_words, threshold, orders, counts, hot), "c long, n int, last long, marks byte, role byte, key long, pos int"
+        _postings(run_words, least_words, threshold, orders, counts, hot), "c long, about long, key long"
     )
     pairs = cut_lineage(candidate_pairs(postings, threshold, orders))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
