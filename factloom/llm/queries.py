@@ -55,7 +55,8 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = split_texts(oversized(table(spark, sf, "filing_sections"), "text_md"), "id", "text_md")
+    """Oversized sections and how many of their paragraphs had to be cut within, by the cuts made."""
+    pieces = split_texts(oversized(table(spark, sf, "filing_sections"), "text_md"), "id", "text_md", with_text=False)
     return pieces.where("piece_no = 1").select(F.col("id").alias("section_id"), "forced_paragraphs")
 
 

@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factloom.llm.splitting import cut, oversized, paragraphs, split_texts
+from factloom.llm.splitting import cut, oversized, paragraphs, split_texts, tokenizer_size
+from factloom.llm.tokens import load_tokenizer, tokenizer_file
 
 TEXTS = st.lists(st.sampled_from(["word", "a", "longerwordhere", " ", "  ", ". ", "\n", "\n\n", "\r\n", "\r", "!", "。", "x" * 70, "é", "\t"]), max_size=120).map("".join)
 
@@ -24,6 +25,25 @@ def test_pieces_cover_and_overlap(text, limit, overlap):
         assert a < c and b < d and c <= b - overlap and (b - c < 2 * overlap or b - c == overlap or overlap == 0)
 
 
+@pytest.mark.parametrize("text, limit, overlap", [("wordwordaaa wordwordword", 20, 11), ("aaaaaaaaa bbbbbbbbbbbb cc", 12, 11), ("a" * 30 + " " * 30 + "b" * 30, 20, 15), ("é " * 50, 20, 19)])
+def test_tight_overlaps(text, limit, overlap):
+    pieces = cut(text, limit, overlap)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(0 < b - a <= limit for a, b, _ in pieces)
+    assert all(a < c <= b - overlap and b < d for (a, b, _), (c, d, _) in zip(pieces, pieces[1:]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXTS, st.integers(16, 60), st.integers(0, 8))
+def test_token_limits(text, limit, overlap):
+    size = tokenizer_size(tokenizer_file())
+    pieces = cut(text, limit, overlap, size=size)
+    assert not text or (pieces[0][0] == 0 and pieces[-1][1] == len(text))
+    count = load_tokenizer(tokenizer_file()).encode_ordinary
+    # Tokens may join across the parts that sizes are taken of, and only then are fewer.
+    assert all(len(count(text[a:b])) <= limit for a, b, _ in pieces)
+    assert all(a < c <= b and b < d for (a, b, _), (c, d, _) in zip(pieces, pieces[1:]))
+
+
 def test_natural_boundaries():
     text = "First sentence here. Second one there.\n\nNext paragraph of words. And more words follow."
     first = cut(text, 50, 5)[0]
