@@ -81,8 +81,8 @@ def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources below their target in the mix, kept if no number of allowed passes could reach it."""
-    return _mix(spark, sf)[1].where("mixed_tokens < wanted_tokens").where("short").select("source")
+    """Sources of which the mix used and left unused less than their target."""
+    return _mix(spark, sf)[1].where("short").select("source")
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:

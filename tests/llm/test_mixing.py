@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pandas as pd
 import pytest
 
-from factloom.llm.mixing import _permuted, blocks, document_tokens, load_tokenizer, mix_sources, mixed_sequences, token_blocks, tokenizer_file, with_offsets
+from factloom.llm.mixing import _permuted, blocks, document_tokens, load_tokenizer, mix_sources, mixed_sequences, redraw, token_blocks, tokenizer_file, with_offsets
 
 DOCS = "doc_id long, text string, source string, tokens long, block int"
 TARGETS = "source string, target_share double, max_repeats int, docs int"
@@ -85,3 +85,28 @@ def test_empty(spark):
     for d, t in ((docs.limit(0), targets), (docs, targets.limit(0))):
         mix, report = mix_sources(d, t)
         assert mix.count() == 0 and report.count() == t.count()
+
+
+@pytest.mark.parametrize("drawn, blocks_, want", [({"a": 30, "b": 5}, (10, 20), 15), ({"a": 30, "b": 5}, (10, 3), 1), ({"a": 1}, (3, 3), 0), ({"a": 9, "b": 1, "c": 1}, (2, 2, 50), 5)])
+def test_redraw(drawn, blocks_, want):
+    plan = [{"source": s, "blocks": n, "max_repeats": 2 if s == "a" and n == 2 else 1, "planned": 0.2 + k} for k, (s, n) in enumerate(zip("abc", blocks_))]
+    plan = plan if want != 15 else [p | {"max_repeats": 1} for p in plan]
+    caps = [p["blocks"] * p["max_repeats"] for p in plan]
+    out = redraw(drawn, plan)
+    over = sum(max(0, drawn.get(p["source"], 0) - c) for p, c in zip(plan, caps))
+    room = [max(0, c - drawn.get(p["source"], 0)) for p, c in zip(plan, caps)]
+    assert sum(out) == min(over, sum(room)) and all(0 <= x <= r for x, r in zip(out, room))
+
+
+def test_every_slot_is_filled_while_there_is_room(spark):
+    docs, targets = make(spark)
+    mix, report = mix_sources(docs, targets, block_tokens=64, shard_slots=8)
+    rep = report.collect()
+    slots = {(r.shard, r.slot) for r in mix.collect()}
+    shards = {}
+    for shard, slot in slots:
+        shards.setdefault(shard, set()).add(slot)
+    assert sum(r.unfilled_slots for r in rep) == 0
+    assert all(s == set(range(len(s))) for s in shards.values()) and all(len(s) == 8 for k, s in shards.items() if k < max(shards))
+    tokens = {r.source: (r.source_tokens, r.max_repeats, r.mixed_tokens, r.unused_tokens) for r in rep}
+    assert all(m + u == t * k for t, k, m, u in tokens.values())
