@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import spread
 
 #: Usual spellings of a language label beside its two-letter code: three letters and English names (fixed values).
 SPELLINGS = {
@@ -149,11 +148,9 @@ def sentence_ends(text: str) -> list[int]:
     return ends
 
 
-def _sentence_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(scores [sentence, language], letters per sentence, document of each, end offset of each).
-
-    Lines of figures, where letters are the smaller part of what is not blank, count as without letters.
-    """
+def _sentence_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(scores [sentence, language], letters per sentence, whether they are the larger part of what is not blank, document of
+    each, end offset of each)."""
     ends = [sentence_ends(t) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(e) for e in ends])
     local = np.concatenate([np.asarray(e, np.int64) for e in ends]) if ends else np.zeros(0, np.int64)
@@ -185,7 +182,7 @@ def _sentence_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.nda
         scores[first:last] += np.where(some[:, None], total, 0)
         for into, what in ((count, letters[lo:hi]), (others, marks[lo:hi] & ~letters[lo:hi])):
             into[first:last] += np.where(some, np.add.reduceat(what.astype(np.int64), np.minimum(cuts, hi - lo - 1)), 0)
-    return scores, np.where(count >= others, count, 0), owner, local
+    return scores, count, count >= others, owner, local
 
 
 def _stretches(scores: np.ndarray, cost: float) -> list[tuple[int, int, int]]:
@@ -231,14 +228,15 @@ def _detect(shared, min_letters: int):
             ids, texts = batch["id"].tolist(), [without_markup(t or "") for t in batch["text"]]
             out: list[tuple] = []
             for a, b in slices(texts):
-                scores, letters, owner, local = _sentence_scores(model, texts[a:b])
+                scores, letters, wordy, owner, local = _sentence_scores(model, texts[a:b])
                 bounds = np.searchsorted(owner, np.arange(b - a + 1))
                 for d in range(b - a):
                     s = np.arange(bounds[d], bounds[d + 1])
-                    s = s[letters[s] >= min_letters]
-                    if not len(s):
+                    telling = s[(letters[s] >= min_letters) & wordy[s]]
+                    s = telling if len(telling) else s[letters[s] > 0]
+                    if letters[s].sum() < 2:
                         continue
-                    parts = _stretches(scores[s], model.switch_cost)
+                    parts = _stretches(scores[s], model.switch_cost) if len(telling) else [(0, len(s), int(scores[s].sum(axis=0).argmax()))]
                     begin = 0
                     for no, (first, last, lang) in enumerate(parts, 1):
                         own = s[first:last]
@@ -258,7 +256,8 @@ def detect_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text
     Columns: doc_id, seg_no (from 1), lang (two letters), confidence (0 to 1), char_start, char_end,
     n_sentences, n_segments. A stretch has two sentences or more unless it is the whole document;
     sentences with fewer than ``min_letters`` letters, or with fewer letters than digits and marks, belong to the
-    stretch around them and decide nothing. NULL, empty and letterless texts have no language and
+    stretch around them and decide nothing; where a document has no other, all its letters, of
+    which there must be two, make one stretch. NULL, empty and letterless texts have no language and
     give no row; tags and invisible characters count as blanks; the stretches of a document cover it from its first to its last character.
     Repeated ids are scored row by row. Ties go to the alphabetically first language.
     """
@@ -268,7 +267,7 @@ def detect_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text
         docs = docs.limit(0)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
     schema = f"id {kind}, seg_no long, lang string, confidence double, char_start long, char_end long, n_sentences long, n_segments long"
-    return spread(rows).mapInPandas(_detect(shared, min_letters), schema).withColumnRenamed("id", doc_id)
+    return rows.mapInPandas(_detect(shared, min_letters), schema).withColumnRenamed("id", doc_id)
 
 
 def canonical_language(label: Column) -> Column:

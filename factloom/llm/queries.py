@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.keys import accession_key
 from factloom.llm import language
-from factloom.llm.leakage import leaked_items
+from factloom.llm.leakage import contained_items, leaked_items
 from factloom.llm.mixing import mix_sources, mixed_sequences
 from factloom.llm.neardup import duplicate_groups, expand_pairs, near_duplicates
 from factloom.llm.splitting import oversized, split_texts
@@ -76,6 +76,20 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p5_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pieces of each section must satisfy: where they begin and end, and how many are too long, share less than
+    the overlap with the piece before, or hold another text than the section's."""
+    sections = table(spark, sf, "filing_sections").select(F.col("id").alias("_id"), "text_md")
+    pieces = split_texts(table(spark, sf, "filing_sections"), "id", "text_md").join(sections, F.col("id") == F.col("_id"))
+    before = F.lag("piece_end").over(Window.partitionBy("id").orderBy("piece_no"))
+    same = F.substring("text_md", F.col("piece_start") + 1, F.col("piece_end") - F.col("piece_start")) == F.col("text")
+    rows = pieces.select("id", "piece_start", "piece_end", same.alias("same"), (before - F.col("piece_start")).alias("shared"))
+    return rows.groupBy(F.col("id").alias("section_id")).agg(
+        F.min("piece_start").alias("first_char"), F.max("piece_end").alias("last_char"), F.count_if(F.col("piece_end") - F.col("piece_start") > 4096).alias("n_long"),
+        F.count_if(F.col("shared") < 200).alias("n_little_overlap"), F.count_if(~F.col("same")).alias("n_other_text"),
+    )
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
@@ -97,10 +111,12 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def _passages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "eval_items").select("item_id", F.explode(F.array("question", "passage")).alias("passage"))
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "eval_items")
-    passages = items.select("item_id", F.explode(F.array("question", "passage")).alias("passage"))
-    return leaked_items(table(spark, sf, "documents"), passages)
+    return leaked_items(table(spark, sf, "documents"), _passages(spark, sf))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,6 +127,11 @@ def p6_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("shared_words").alias("longest_run"))
 
 
+def p6_contained(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold 0.8 or more of the five-word shingles of an item's question or passage."""
+    return contained_items(table(spark, sf, "documents"), _passages(spark, sf)).select("doc_id", "item_id", F.round("containment", 9).alias("containment"))
+
+
 def _model(spark: SparkSession, sf: str) -> language.Model:
     return language.train(table(spark, sf, "lang_samples"))
 
@@ -131,8 +152,10 @@ QUERIES = {
     "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_coverage": p5_coverage,
     "p6_found": p6_found,
     "p6_leaked_items": p6_leaked_items,
+    "p6_contained": p6_contained,
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_sequences": p7_sequences,
@@ -154,6 +177,19 @@ def _latest(col: str) -> str:
     return f"arg_min({col}, struct_pack(a := epoch_us(TIMESTAMP '9999-12-31') - epoch_us(created_at), b := id)) FILTER ({col} IS NOT NULL)"
 
 
+# DuckDB has no compatibility normalisation: ligatures are replaced, other such characters are no letters here.
+_PLAIN = """regexp_extract_all(lower(regexp_replace(regexp_replace(replace(replace(replace({0}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'),
+  '[\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}\\x{{00AD}}]', '', 'g'), '<[^<>]*>', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')"""
+
+
+def _grams(n: int) -> str:
+    """Runs of n words of documents (d) and of the questions and passages of items (p)."""
+    gram = f"unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: struct_pack(i := i, g := array_to_string(w[i:i + {n - 1}], ' '))), recursive := true)"
+    return f"""WITH x AS (SELECT doc_id, {_PLAIN.format("text")} AS w FROM documents), d AS (SELECT doc_id, {gram} FROM x WHERE len(w) >= {n}),
+      y AS (SELECT item_id, part, {_PLAIN.format("t")} AS w FROM (SELECT item_id, 1 AS part, question AS t FROM eval_items UNION ALL SELECT item_id, 2, passage FROM eval_items)),
+      p AS (SELECT item_id, part, {gram} FROM y WHERE len(w) >= {n})"""
+
+
 SQL = {
     "p1_found": _GROUPS + "SELECT id AS survivor_id FROM g WHERE n > 1 AND r = 1",
     "p1_golden_records": _GROUPS
@@ -179,6 +215,18 @@ SQL = {
     "p5_found": """
       SELECT id AS section_id, len(list_filter(string_split_regex(replace(replace(text_md, chr(13) || chr(10), chr(1) || chr(2)), chr(13), chr(10)),
         '(?:\\x01\\x02|\\n)(?:[ \\t]*(?:\\x01\\x02|\\n))+'), lambda x: len(x) > 4096)) AS forced_paragraphs FROM filing_sections WHERE len(text_md) > 4096""",
+    "p5_coverage": """SELECT id AS section_id, 0 AS first_char, cast(length(text_md) AS INTEGER) AS last_char, 0::BIGINT AS n_long, 0::BIGINT AS n_little_overlap, 0::BIGINT AS n_other_text
+      FROM filing_sections WHERE text_md <> ''""",
+    "p6_found": _grams(12) + " SELECT DISTINCT doc_id, item_id FROM d JOIN p USING (g)",
+    "p6_leaked_items": _grams(12)
+    + """, m AS (SELECT DISTINCT doc_id, item_id, part, p.i AS i, d.i - p.i AS shift FROM d JOIN p USING (g)),
+      r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, part, shift ORDER BY i) AS island FROM m),
+      n AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM r GROUP BY doc_id, item_id, part, shift, island)
+      SELECT item_id, count(DISTINCT doc_id) AS n_docs, cast(max(n) AS INTEGER) AS longest_run FROM n GROUP BY 1""",
+    "p6_contained": _grams(5)
+    + """, u AS (SELECT DISTINCT doc_id, g FROM d), v AS (SELECT DISTINCT item_id, part, g FROM p), size AS (SELECT item_id, part, count(*) AS n FROM v GROUP BY 1, 2),
+      c AS (SELECT doc_id, item_id, count(*) / n AS c FROM u JOIN v USING (g) JOIN size USING (item_id, part) GROUP BY doc_id, item_id, part, n)
+      SELECT doc_id, item_id, round(max(c), 9) AS containment FROM c WHERE c >= 0.8 GROUP BY 1, 2""",
     "p7_found": """
       WITH d AS (SELECT regexp_replace(lower(trim(source)), '[-\\s_]+', '_', 'g') AS source, len(text) AS n FROM documents),
       t AS (SELECT m.source, target_share, max_repeats, coalesce(sum(n), 0) AS n FROM mix_targets m LEFT JOIN d ON d.source = regexp_replace(lower(trim(m.source)), '[-\\s_]+', '_', 'g') GROUP BY 1, 2, 3)

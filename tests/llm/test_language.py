@@ -77,3 +77,9 @@ def test_cases(spark, held_out):
 def test_no_samples(spark):
     model = L.train(spark.createDataFrame([(None, "en"), ("", "en"), ("x", None)], "text string, lang string"))
     assert model.languages == () and L.detect_languages(spark.createDataFrame([(1, "a text")], "doc_id int, text string"), model).count() == 0
+
+
+def test_short_texts_and_tables(spark, held_out):
+    got = detect(spark, held_out[0], ["Umsatz", "12,400 13,900 | 2021 2022 | net 44", "7 8 9", "公司", None])
+    assert [(r.doc_id, r.seg_no, r.n_segments) for r in got] == [(0, 1, 1), (1, 1, 1), (3, 1, 1)]
+    assert got[2].lang == "zh" and all(0 < r.confidence <= 1 for r in got)
