@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.keys import accession_key
+from factloom.functions.keys import accession_key, digest
 from factloom.llm import language
 from factloom.llm.leakage import contained_items, leaked_items
 from factloom.llm.mixing import mix_sources, mixed_sequences
@@ -17,12 +17,17 @@ from factloom.sources.tables import table
 _FIELDS = ("concept", "unit", "fiscal_period", "form")
 
 
-def _representatives(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _usable(spark: SparkSession, sf: str) -> tuple[DataFrame, list]:
+    """Facts that name a figure, and the key of the figure."""
     facts = table(spark, sf, "xbrl_facts")
     acc = accession_key(F.col("accession_number"))
     usable = facts.where(acc.isNotNull() & F.col("cik").isNotNull() & F.col("canonical_concept").isNotNull() & F.col("period_end").isNotNull())
-    keys = [F.col("cik"), F.col("canonical_concept"), F.col("period_start"), F.col("period_end"), acc]
-    keep = [F.col("cik"), F.col("canonical_concept"), F.col("period_start"), F.col("period_end"), acc.alias("accession_key")]
+    return usable, [F.col("cik"), F.col("canonical_concept"), F.col("period_start"), F.col("period_end"), acc]
+
+
+def _representatives(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    usable, keys = _usable(spark, sf)
+    keep = [F.col("cik"), F.col("canonical_concept"), F.col("period_start"), F.col("period_end"), keys[-1].alias("accession_key")]
     return best_representatives(usable, keys, "id", "value", "created_at", _FIELDS, ("concept", "unit", "fiscal_period"), keep)
 
 
@@ -39,6 +44,26 @@ def p1_precedence(spark: SparkSession, sf: str) -> DataFrame:
     return _representatives(spark, sf)[1].withColumn("field", name)
 
 
+def p1_undated_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Currency reasoning on facts of which a third has lost its time, against the values that the times give.
+
+    Per field: figures with several records, those of them in which the field changes and a record has lost its time, and in how many of
+    each the value found is the latest one.
+    """
+    facts, keys = _usable(spark, sf)
+    key, lost = digest(*keys).alias("k"), F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    find = lambda df: best_representatives(df, keys, "id", "value", "created_at", _FIELDS, _FIELDS[:3], [key])[0].select("k", *_FIELDS)
+    blanked = facts.withColumn("created_at", F.when(~lost, F.col("created_at")))
+    change = facts.groupBy(key).agg(F.max(lost).alias("lost"), *[(F.min(f) < F.max(f)).alias(f"c_{f}") for f in _FIELDS])
+    found = find(blanked).withColumnsRenamed({f: f"n_{f}" for f in _FIELDS})
+    rows = find(facts).join(found, "k").join(change, "k")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).eqNullSafe(F.col(f"n_{f}")).alias("same"), (F.col(f"c_{f}") & F.col("lost")).alias("open")) for f in _FIELDS]))
+    return (
+        rows.select(each.alias("x")).select("x.*").groupBy("field")
+        .agg(F.count(F.lit(1)).alias("n_figures"), F.count_if("same").alias("n_same"), F.count_if("open").alias("n_open"), F.count_if(F.col("open") & F.col("same")).alias("n_open_same"))
+    )
+
+
 def _near_duplicates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     sections, versions = table(spark, sf, "filing_sections"), table(spark, sf, "section_versions")
     texts = sections.select(F.lit("filing_sections").alias("set"), "id", F.col("text_md").alias("text"))
@@ -148,6 +173,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_golden_records": p1_golden_records,
     "p1_precedence": p1_precedence,
+    "p1_undated_recall": p1_undated_recall,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p5_found": p5_found,

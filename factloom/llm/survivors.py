@@ -2,13 +2,17 @@
 
 Which of two values of a field is the newer one is learned from all groups whose rows carry a
 timestamp: every step from one value to the next within a group counts for (before, after), and the
-majority over all groups decides the direction of a pair. Rows without a timestamp take their place in the
-partial order of their group: a value that a dated row of the group shares inherits that row's
-time, a value known to follow a dated one comes right after it, and undated values are put among
-each other by their topological level. The survivor, and the value of each field, are then taken
-from the topologically latest rows among the most complete ones.
+majority over all groups decides the direction of a pair. The learned order of a field is closed transitively; values on
+a cycle are not ordered among themselves.
 
-Rows are grouped by a 128 bit digest of the key. What is learned comes from the distinct (group, field,
+Values of rows without a timestamp take their place in the partial order of their group, field by field: a value that a
+dated row of the group shares has that row's time, a value known to follow a dated one comes right after it, and
+values with the same footing are put by how many values the closed order has before them, so the topologically
+latest comes last. Each field of the record is its own latest value. The surviving row is the latest among the
+most complete ones, where a row without a timestamp stands at the place of its first field that has one.
+
+Rows are grouped by a 128 bit digest of the key, in one shuffle that counts and chooses; the rest is done only where rows
+lack a timestamp. What is learned comes from the distinct (group, field,
 time, value), so a value that returns counts again; a hot group is cut into hours for that. Elsewhere
 (group, field, value) is reduced before it is ordered: tags, units, periods and forms of a taxonomy, not records.
 """
@@ -17,25 +21,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.functions.keys import age, digest
 from factloom.session import cut_lineage
 
-_LEVELS = T.ArrayType(T.StructType([T.StructField("state", T.StringType()), T.StructField("level", T.IntegerType())]))
-
 
-def duplicate_members(df: DataFrame, keys: Sequence[Column], record_id: str, value: str, time: str, fields: Sequence[str], keep: Sequence[Column] = ()) -> DataFrame:
-    """Rows of groups of two or more: grp, id, val, at, f0..fn and the ``keep`` columns."""
-    rows = df.select(
+def _keyed(df: DataFrame, keys: Sequence[Column], record_id: str, value: str, time: str, fields: Sequence[str], keep: Sequence[Column] = ()) -> DataFrame:
+    """grp, id, val, at, f0..fn and the ``keep`` columns."""
+    return df.select(
         digest(*keys).alias("grp"), F.col(record_id).cast("string").alias("id"), F.col(value).alias("val"), F.col(time).alias("at"),
         *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)], *keep,
     )
-    repeated = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-    return rows.join(repeated, "grp", "left_semi")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Rows of groups of two or more."""
+    return rows.join(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp"), "grp", "left_semi")
 
 
 def _states(members: DataFrame, n_fields: int) -> DataFrame:
@@ -91,100 +94,93 @@ def learn_precedence(members: DataFrame, n_fields: int) -> DataFrame:
     )
 
 
-@F.pandas_udf(_LEVELS)
-def _levels(edges: pd.Series) -> pd.Series:
-    """Topological level of each value of one group and field; values on a cycle share the level reached."""
-
-    def one(pairs) -> list:
-        after: dict = {}
-        open_ = {}
-        for p in pairs:
-            after.setdefault(p["before"], set()).add(p["after"])
-            open_.setdefault(p["before"], 0)
-        for nexts in after.values():
-            for x in nexts:
-                open_[x] = open_.get(x, 0) + 1
-        level, ready = dict.fromkeys(open_, 0), sorted(x for x, n in open_.items() if n == 0)
-        while ready:
-            x = ready.pop()
-            for y in after.get(x, ()):
-                level[y] = max(level[y], level[x] + 1)
-                open_[y] -= 1
-                if not open_[y]:
-                    ready.append(y)
-        return [{"state": k, "level": v} for k, v in level.items()]
-
-    return edges.map(one)
-
-
-def _undated_places(members: DataFrame, states: DataFrame, precedence: DataFrame, n_fields: int) -> DataFrame:
-    """(grp, id, place) of rows without a time: the time they are known to be at or after, and their
-    level above it. Empty where every row is dated."""
+def closed_order(precedence: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(field, before, after) of all values that follow another one in the learned order, directly or through others.
+
+    Path lengths double each round. Values that follow each other both ways lie on a cycle and are not ordered.
+    The table is that of a taxonomy's values which compete for the same figures.
+    """
+    closed, n = cut_lineage(precedence.select("field", "before", "after").distinct()), -1
+    for _ in range(most_rounds):
+        now = closed.count()
+        if now == n:
+            back = closed.select("field", F.col("before").alias("after"), F.col("after").alias("before"))
+            return closed.where("before <> after").join(back, ["field", "before", "after"], "left_anti")
+        n = now
+        a, b = closed.select("field", "before", F.col("after").alias("via")), closed.select("field", F.col("before").alias("via"), "after")
+        closed = cut_lineage(closed.unionByName(a.join(b, ["field", "via"]).select("field", "before", "after")).distinct())
+    raise RuntimeError(f"the order did not close in {most_rounds} rounds")
+
+
+def value_places(members: DataFrame, precedence: DataFrame, n_fields: int) -> DataFrame:
+    """(grp, field, state, seen, step, level) of the values of rows without a time, as far as anything is known of them.
+
+    seen is the latest time the value is known to be at (step 0) or after (step 1), NULL if none; level is how many values
+    come before it in the closed order.
+    """
     parts = ", ".join(f"{i}, f{i}" for i in range(n_fields))
-    undated = members.where(F.col("at").isNull()).selectExpr("grp", "id", f"stack({n_fields}, {parts}) AS (field, state)").where("state IS NOT NULL")
-    wanted = undated.select("grp", "field", "state").distinct()
-    dated = states.where(F.col("seen").isNotNull())
-    same = wanted.join(dated, ["grp", "field", "state"]).select("grp", "field", "state", F.struct("seen", F.lit(0).alias("step")).alias("anchor"))
-    known = precedence.select("field", "before", F.col("after").alias("state"))
+    wanted = members.where("at IS NULL").selectExpr("grp", f"stack({n_fields}, {parts}) AS (field, state)").where("state IS NOT NULL").distinct()
+    dated = _states(members, n_fields).where("seen IS NOT NULL")
+    order = cut_lineage(closed_order(precedence))
+    same = wanted.join(dated, ["grp", "field", "state"]).select("grp", "field", "state", "seen", F.lit(0).alias("step"))
     later = (
-        wanted.join(known, ["field", "state"])
-        .join(dated.select("grp", "field", F.col("state").alias("before"), "seen"), ["grp", "field", "before"])
-        .select("grp", "field", "state", F.struct("seen", F.lit(1).alias("step")).alias("anchor"))
+        wanted.join(order.withColumnRenamed("after", "state"), ["field", "state"])
+        .join(dated.withColumnRenamed("state", "before"), ["grp", "field", "before"])
+        .select("grp", "field", "state", "seen", F.lit(1).alias("step"))
     )
-    anchors = same.unionByName(later).groupBy("grp", "field", "state").agg(F.max("anchor").alias("anchor"))
-    edges = (
-        wanted.join(known, ["field", "state"])
-        .join(wanted.select("grp", "field", F.col("state").alias("before")), ["grp", "field", "before"])
-        .groupBy("grp", "field")
-        .agg(F.collect_set(F.struct("before", F.col("state").alias("after"))).alias("edges"))
-    )
-    levels = edges.select("grp", "field", F.explode(_levels("edges")).alias("x")).select("grp", "field", "x.state", "x.level")
+    anchors = same.unionByName(later).groupBy("grp", "field", "state").agg(F.max(F.struct("seen", "step")).alias("anchor"))
+    known = precedence.select("field", F.explode(F.array("before", "after")).alias("state")).distinct()
+    above = order.groupBy("field", F.col("after").alias("state")).agg(F.count(F.lit(1)).alias("level"))
+    levels = known.join(above, ["field", "state"], "left").select("field", "state", F.coalesce("level", F.lit(0)).alias("level"))
     return (
-        undated.join(anchors, ["grp", "field", "state"], "left")
-        .join(levels, ["grp", "field", "state"], "left")
-        .groupBy("grp", "id")
-        .agg(F.max("anchor").alias("anchor"), F.sum(F.coalesce("level", F.lit(0))).alias("level"))
+        wanted.join(anchors, ["grp", "field", "state"], "left")
+        .join(levels, ["field", "state"], "left")
+        .where("anchor IS NOT NULL OR level IS NOT NULL")
+        .select("grp", "field", "state", "anchor.seen", F.coalesce("anchor.step", F.lit(0)).alias("step"), F.coalesce("level", F.lit(0)).alias("level"))
     )
 
 
-def currency_ranked(members: DataFrame, fields: Sequence[str], time_type: str) -> tuple[DataFrame, DataFrame]:
-    """Members with their place in the currency order, and the learned precedence.
+def _ranked(rows: DataFrame, n_fields: int, time_type: str, placed: bool) -> DataFrame:
+    """Adds ``currency`` and one ``c{i}`` per field: structs that sort from the latest to the earliest place.
 
-    ``currency`` sorts ascending from latest to earliest: dated or placed rows before unplaced ones,
-    then time, step and level downwards, then the id upwards (so ties fall to the smallest id).
+    Dated or placed before unplaced, then time, step and level downwards, then the id upwards, so ties fall to
+    the smallest id. With ``placed``, rows have a map ``places`` from (field, value) to (seen, step, level).
     """
-    n = len(fields)
-    states = _states(members, n)
-    precedence = learn_precedence(members, n)
-    placed = members.join(_undated_places(members, states, precedence, n), ["grp", "id"], "left")
-    at = F.coalesce("at", F.col("anchor.seen"))
-    currency = F.struct(
-        at.isNull().alias("unplaced"),
-        age(at, time_type).alias("age"),
-        (-F.coalesce("anchor.step", F.lit(0))).alias("step"),
-        (-F.coalesce("level", F.lit(0))).alias("level"),
-        F.col("id").alias("id"),
-    )
-    return placed.withColumn("currency", currency).drop("anchor", "level"), precedence
+
+    def rank(seen: Column, step: Column, level: Column) -> Column:
+        return F.struct(seen.isNull().alias("unplaced"), age(seen, time_type).alias("age"), (-step).alias("step"), (-level).alias("level"), F.col("id").alias("id"))
+
+    at, none = F.col("at"), F.lit(0)
+    if not placed:
+        own = rank(at, none, none.cast("long"))
+        return rows.select("*", own.alias("currency"), *[own.alias(f"c{i}") for i in range(n_fields)])
+    place = [F.try_element_at("places", F.struct(F.lit(i).alias("field"), F.col(f"f{i}").alias("state"))) for i in range(n_fields)]
+    first = F.coalesce(*place)
+    ranks = [rank(p["seen"], F.coalesce(p["step"], none), F.coalesce(p["level"], F.lit(0).cast("long"))) for p in (first, *place)]
+    return rows.select("*", ranks[0].alias("currency"), *[r.alias(f"c{i}") for i, r in enumerate(ranks[1:])]).drop("places")
 
 
 def surviving_records(ranked: DataFrame, fields: Sequence[str], counted: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One row per group: survivor_id, the ``keep`` columns, val and each field, n_records.
 
     The survivor has a value rather than NULL, then the most non-NULL fields among ``counted``, then
-    the latest place in the currency order, then the smallest id. val and each field are taken
-    from the latest row that has one, whichever row survives; NULL where no row has one. Repeated
+    the latest place in the currency order, then the smallest id. val is taken from the latest row that has one, and each
+    field is its own latest value, whichever row survives; NULL where no row has one. Repeated
     rows count as records of their own; a group of one row gives no output.
     """
     filled = sum((F.col(f"f{list(fields).index(f)}").isNotNull().cast("int") for f in counted), F.lit(0))
     choice = F.struct(F.col("val").isNull().alias("empty"), (-filled).alias("filled"), F.col("currency").alias("currency"))
-    latest = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("currency")))
-    return ranked.groupBy("grp").agg(
-        F.min(choice).getField("currency").getField("id").alias("survivor_id"),
-        *[F.first(k, ignorenulls=True).alias(k) for k in keep],
-        latest("val").alias("val"),
-        *[latest(f"f{i}").alias(f) for i, f in enumerate(fields)],
-        F.count(F.lit(1)).alias("n_records"),
+    latest = lambda c, by: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(by)))
+    return (
+        ranked.groupBy("grp")
+        .agg(
+            F.min(choice).getField("currency").getField("id").alias("survivor_id"),
+            *[F.first(k, ignorenulls=True).alias(k) for k in keep],
+            latest("val", "currency").alias("val"),
+            *[latest(f"f{i}", f"c{i}").alias(f) for i, f in enumerate(fields)],
+            F.count(F.lit(1)).alias("n_records"),
+        )
+        .where("n_records > 1")
     )
 
 
@@ -192,10 +188,19 @@ def best_representatives(df: DataFrame, keys: Sequence[Column], record_id: str,
     """(one row per group of duplicates, learned precedence).
 
     ``keys`` say which rows are one record; NULL equals NULL in them, so leave rows without a usable
-    key out beforehand. An empty table gives two empty results.
+    key out beforehand. Where every row is dated, the order is that of the dates and nothing needs to be learned for the
+    first result. An empty table gives two empty results.
     """
-    time_type = dict(df.dtypes)[time]
-    members = cut_lineage(duplicate_members(df, keys, record_id, value, time, fields, keep))
-    ranked, precedence = currency_ranked(members, fields, time_type)
-    kept = members.columns[4 + len(fields) :]
+    time_type, n = dict(df.dtypes)[time], len(fields)
+    rows = _keyed(df, keys, record_id, value, time, fields, keep)
+    kept = rows.columns[4 + n :]
+    if not df.where(F.col(time).isNull()).take(1):
+        records = surviving_records(_ranked(rows, n, time_type, False), fields, counted, kept)
+        return records.drop("grp"), learn_precedence(_repeated(rows), n)
+    members = cut_lineage(_repeated(rows))
+    precedence = cut_lineage(learn_precedence(members, n))
+    place = F.struct(F.struct("field", "state").alias("key"), F.struct("seen", "step", "level").alias("value"))
+    places = value_places(members, precedence, n).groupBy("grp").agg(F.map_from_entries(F.collect_list(place)).alias("places"))
+    undated = members.where("at IS NULL").join(places, "grp", "left")
+    ranked = _ranked(members.where("at IS NOT NULL"), n, time_type, False).unionByName(_ranked(undated, n, time_type, True))
     return surviving_records(ranked, fields, counted, kept).drop("grp"), precedence

@@ -99,3 +99,41 @@ def test_steps_against_a_loop(spark):
             times = sorted(at)
             count.update((f, a, b) for s, t in zip(times, times[1:]) for a in at[s] for b in at[t] if a != b)
     assert run(spark, rows)[1] == sorted((f, a, b, n, count[f, b, a]) for (f, a, b), n in count.items() if n > count[f, b, a])
+
+
+def order(prefix, *values, tag=True, n=3):
+    """Groups that teach an order of the values of one field."""
+    return [(f"{prefix}{i}", f"{prefix}{i}{v}", 1, day(j), v if tag else "t", "u" if tag else v) for i in range(n) for j, v in enumerate(values)]
+
+
+def test_order_is_closed_transitively(spark):
+    rows = order("a", "P", "Q") + order("b", "Q", "R") + order("c", "R", "S")
+    rows += [
+        ("gap", "1", 1, None, "P", "u"), ("gap", "2", 2, None, "R", "u"),  # Q lies between but isn't there
+        ("far", "1", 1, None, "P", "u"), ("far", "2", 2, None, "S", "u"),
+        ("mixed", "1", 1, day(4), "Q", "u"), ("mixed", "2", 2, None, "S", "u"), ("mixed", "3", 3, None, "R", "u"), ("mixed", "4", 4, None, "P", "u"),
+        ("newer", "1", 1, day(4), "S", "u"), ("newer", "2", 2, None, "P", "u"),
+        ("chain", "1", 1, day(4), "P", "u"), ("chain", "2", 2, day(6), "Q", "u"), ("chain", "3", 3, None, "R", "u"),
+    ]
+    got, _ = run(spark, rows)
+    assert {k: got[k].survivor_id for k in ("gap", "far", "mixed", "newer", "chain")} == {"gap": "2", "far": "2", "mixed": "2", "newer": "1", "chain": "3"}
+    assert got["mixed"].tag == "S" and got["newer"].tag == "S"
+
+
+def test_each_field_by_its_own_order(spark):
+    rows = order("a", "A", "B") + order("b", "Y", "X", tag=False)
+    rows += [("both", "1", 1, None, "A", "X"), ("both", "2", 2, None, "B", "Y")]
+    rows += [("older", "1", 1, day(3), "B", "X"), ("older", "0", 2, None, "A", "X")]  # shares the unit, but its tag is known to be older
+    rows += [("null", "1", 1, day(3), "B", "Y"), ("null", "2", 2, None, None, "X")]
+    got, _ = run(spark, rows)
+    assert (got["both"].tag, got["both"].unit) == ("B", "X")
+    assert got["older"].survivor_id == "1" and got["older"].tag == "B"
+    assert (got["null"].tag, got["null"].unit) == ("B", "X")
+
+
+def test_unrelated_values_and_part_cycles(spark):
+    rows = order("a", "A", "B") + order("b", "B", "C") + order("c", "C", "A") + order("d", "C", "D")
+    rows += [("out", "1", 1, None, "A", "u"), ("out", "2", 2, None, "D", "u")]  # D follows the cycle
+    rows += [("new", "2", 1, day(2), "A", "u"), ("new", "1", 2, None, "Z", "u")]  # nothing is known of Z; the unit is shared
+    got, _ = run(spark, rows)
+    assert got["out"].survivor_id == "2" and got["new"].tag == "A" and got["new"].survivor_id == "1"
