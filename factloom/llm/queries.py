@@ -222,12 +222,13 @@ SQL = {
     + f"""SELECT min(id) FILTER (r = 1) AS survivor_id, cik, canonical_concept, period_start, period_end, a AS accession_key, {_latest("value")} AS value,
       {", ".join(f"{_latest(c)} AS {c}" for c in _FIELDS)}, count(*) AS n_records FROM g WHERE n > 1 GROUP BY cik, canonical_concept, period_start, period_end, a""",
     "p1_precedence": _GROUPS
-    + """, s AS (SELECT cik, canonical_concept, period_start, period_end, a, field, state, max(created_at) AS seen FROM (
+    + """, s AS (SELECT cik, canonical_concept, period_start, period_end, a, field, created_at, list(DISTINCT state) AS states FROM (
         SELECT * FROM g, LATERAL (SELECT unnest(['concept', 'unit', 'fiscal_period', 'form']) AS field, unnest([concept, unit, fiscal_period, form]) AS state)) WHERE n > 1
         AND state IS NOT NULL AND created_at IS NOT NULL GROUP BY ALL),
-      t AS (SELECT *, lag(state) OVER w AS prev, lag(seen) OVER w AS prev_seen FROM s WINDOW w AS (PARTITION BY cik, canonical_concept, period_start, period_end, a, field ORDER BY seen, state)),
+      l AS (SELECT field, states, lag(states) OVER (PARTITION BY cik, canonical_concept, period_start, period_end, a, field ORDER BY created_at) AS before FROM s),
+      t AS (SELECT field, prev, unnest(states) AS state FROM (SELECT field, states, unnest(before) AS prev FROM l)),
       p AS (SELECT field, least(prev, state) AS lo, greatest(prev, state) AS hi, count(*) FILTER (prev < state) AS up, count(*) FILTER (prev > state) AS down
-        FROM t WHERE prev_seen < seen GROUP BY ALL)
+        FROM t WHERE prev <> state GROUP BY ALL)
       SELECT field, CASE WHEN up > down THEN lo ELSE hi END AS before, CASE WHEN up > down THEN hi ELSE lo END AS after, greatest(up, down) AS support, least(up, down) AS against
       FROM p WHERE up <> down""",
     "p4_found": """
