@@ -309,7 +309,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 512, sh
     allowed = spark.createDataFrame([(p["source"], p["max_repeats"]) for p in plan], "source string, allowed long")
     used = F.coalesce("uses", F.lit(0))
     reached = (
-        sizes.join(uses, ["source", "block"], "left")
+        sizes.join(uses.hint("merge"), ["source", "block"], "left")
         .join(allowed, "source")
         .groupBy("source")
         .agg(F.sum(used * F.col("size")).alias("mixed_tokens"), F.sum((F.col("allowed") - used) * F.col("size")).alias("unused_tokens"), F.max("passes").alias("most_passes"))
