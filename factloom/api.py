@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import argparse
 import json
-from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import __version__, queries
 from factloom.operators.predicates import unknown_values
-from factloom.plans import engine
-from factloom.session import get_session
+from factloom.session import get_session, release
 from factloom.sources.tables import table
 
 
@@ -26,9 +24,9 @@ def version() -> str:
     return __version__
 
 
-def tickers(spark: SparkSession, sf: str, most: int = 1000) -> list[str]:
-    """The first tickers of the universe in order, at most ``most``."""
-    return [r[0] for r in table(spark, sf, "companies").select(F.upper("ticker").alias("t")).where("t IS NOT NULL").orderBy("t").limit(most).collect()]
+def tickers(spark: SparkSession, sf: str) -> DataFrame:
+    """(ticker) of the universe, in capitals, each once."""
+    return table(spark, sf, "companies").select(F.upper("ticker").alias("ticker")).where("ticker IS NOT NULL").distinct()
 
 
 def check_universe(requested: list[str], allowed: list[str]) -> None:
@@ -37,14 +35,9 @@ def check_universe(requested: list[str], allowed: list[str]) -> None:
         raise ValueError(f"unknown tickers: {', '.join(unknown)}")
 
 
-def query(spark: SparkSession, sf: str, question: str, **kwargs) -> engine.Answer:
-    return engine.answer(spark, sf, question, **kwargs)
-
-
-def query_stream(spark: SparkSession, sf: str, question: str, **kwargs) -> Iterator[str]:
-    """Events as ``data:`` lines."""
-    for event in engine.stream_answer(spark, sf, question, **kwargs):
-        yield f"data: {json.dumps(event, default=lambda x: getattr(x, '__dict__', str(x)))}\n\n"
+def stop(spark: SparkSession, tag: str) -> None:
+    """Cancel the running jobs that were started under ``spark.addTag(tag)``."""
+    spark.interruptTag(tag)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -52,8 +45,6 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("data", help="folder of Parquet tables")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("health")
-    ask = commands.add_parser("ask")
-    ask.add_argument("question")
     run = commands.add_parser("run", help="run a registered query and write its result")
     run.add_argument("name")
     run.add_argument("out")
@@ -62,11 +53,9 @@ def main(argv: list[str] | None = None) -> None:
     spark = get_session()
     if args.command == "health":
         print(json.dumps(health(spark, args.data)))
-    elif args.command == "ask":
-        for line in query_stream(spark, args.data, args.question):
-            print(line, end="")
     else:
         queries.collect()[0][args.name](spark, args.data).write.mode("errorifexists").format(args.format).save(args.out)
+        release(spark)
 
 
 if __name__ == "__main__":

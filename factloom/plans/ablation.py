@@ -1,17 +1,14 @@
-"""Questions under several configurations.
+"""Questions under several configurations of a straight pipeline, set-wise over all questions.
 
-The straight pipelines run set-wise over all questions. Configurations with planning and reflection run question by
-question through :mod:`factloom.plans.engine`, for which a planner must be injected. A configuration with a flag
-that the path can't honour raises ValueError.
+A configuration is the set of steps it runs. Steps that plan and reflect with a language model are named, for results of
+such runs are compared here, but they are no work for Spark and are not run.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.keys import accession_key
@@ -20,31 +17,30 @@ from factloom.operators import evaluation as ev
 from factloom.operators import search, vectors
 from factloom.operators import verification as vf
 from factloom.operators.facts import query_facts
-from factloom.plans import engine
 from factloom.session import cut_lineage
-from factloom.sources.tables import table
 
 # Fixed value: the concept of the facts step, whatever the question asks for.
 FACTS_CONCEPT = "revenue"
+# Names of the configurations. Each runs its own step after those of the ones above it.
+STEPS = (
+    ("Vanilla RAG", "lexical"),
+    ("+ Hybrid retrieval", "dense and rerank"),
+    ("+ XBRL tools", "facts"),
+    ("+ Agentic planning", "planning"),
+    ("+ Reflection loop", "reflection"),
+)
+RUN_HERE = ("lexical", "dense and rerank", "facts")
 
 
-@dataclass(frozen=True)
-class Config:
-    name: str
-    use_dense: bool = False
-    use_reranker: bool = False
-    use_xbrl: bool = False
-    use_agentic: bool = False
-    use_reflection: bool = False
-
-
-CONFIGS = (
-    Config("Vanilla RAG"),
-    Config("+ Hybrid retrieval", True, True),
-    Config("+ XBRL tools", True, True, True),
-    Config("+ Agentic planning", True, True, True, True),
-    Config("+ Reflection loop", True, True, True, True, True),
-)
+def steps_of(name: str) -> list[str]:
+    """The steps of a configuration; ValueError for an unknown one and for one with steps that aren't run here."""
+    names = [n for n, _ in STEPS]
+    if name not in names:
+        raise ValueError(f"unknown configuration: {name}")
+    steps = [s for _, s in STEPS[: names.index(name) + 1]]
+    if missing := [s for s in steps if s not in RUN_HERE]:
+        raise ValueError(f"{name}: not run here: {', '.join(missing)}")
+    return steps
 
 
 def lexical(questions: DataFrame, chunks: DataFrame, pool: int = 20) -> DataFrame:
@@ -58,20 +54,21 @@ def lexical(questions: DataFrame, chunks: DataFrame, pool: int = 20) -> DataFram
 
 
 def retrieve(
-    questions: DataFrame, chunks: DataFrame, config: Config, vector: Callable[[Column], Column] | None, k: int = 10, pool: int = 20, found: DataFrame | None = None
+    questions: DataFrame, chunks: DataFrame, steps: Sequence[str], vector: Callable[[Column], Column] | None, k: int = 10, pool: int = 20, found: DataFrame | None = None
 ) -> DataFrame:
-    """(query, doc, rank, text) of questions (id, text) over chunks (id, text) as the configuration has it.
+    """(query, doc, rank, text) of questions (id, text) over chunks (id, text) by the given steps.
 
     ``found``: the result of :func:`lexical`, if it is there already.
     """
     best = lexical(questions, chunks, pool) if found is None else found
-    if config.use_dense:
+    hybrid = "dense and rerank" in steps
+    if hybrid:
         if vector is None:
-            raise ValueError(f"{config.name}: dense retrieval needs a vector")
+            raise ValueError("dense retrieval needs a vector")
         dense = vectors.nearest(questions.select("id", vector(F.col("text")).alias("v")), chunks.select("id", vector(F.col("text")).alias("v")), pool, "id", "v")
         best = search.fuse([best, dense], ["bm25", "dense"]).where(F.col("rank") <= pool)
     rows = best.select("query", "doc", "rank").join(chunks.select(F.col("id").alias("doc"), "text"), "doc")
-    if config.use_reranker:
+    if hybrid:
         asked = questions.select(F.col("id").alias("query"), F.col("text").alias("question"))
         scored = rows.join(asked, "query").withColumnRenamed("rank", "fused_rank")
         return search.rerank(scored, search.term_overlap(F.col("question"), F.col("text")), k).select("query", "doc", "rank", "text")
@@ -101,39 +98,32 @@ def fact_claims(questions: DataFrame, facts: DataFrame, companies: DataFrame, to
 
 
 def evaluate_all(
-    questions: DataFrame, chunks: DataFrame, configs: Sequence[Config], vector: Callable[[Column], Column], facts: DataFrame | None = None, companies: DataFrame | None = None
+    questions: DataFrame, chunks: DataFrame, configs: Sequence[str], vector: Callable[[Column], Column], facts: DataFrame | None = None, companies: DataFrame | None = None
 ) -> DataFrame:
     """config, id, tier, numerical_match, error_pct, faithfulness, failure_mode of each question under each configuration.
 
     ``questions``: id, tier, text, gold (a number or NULL), and the filters of :func:`fact_claims`. The answer's numeric claims are
-    the numbers of the best text, which cite it, then, with ``use_xbrl``, a number per fact, which cites its filing.
+    the numbers of the best text, which cite it, then, with the facts step, a number per fact, which cites its filing.
     The facts are evidence of the same answer: as in the reference, its only tool is the retriever.
     What configurations have in common is retrieved once.
     """
-    for c in configs:
-        if c.use_agentic or c.use_reflection:
-            raise ValueError(f"{c.name}: planning and reflection are run by run_agentic")
-        if c.use_xbrl and (facts is None or companies is None):
-            raise ValueError(f"{c.name}: the facts step needs facts and companies")
+    steps = {name: steps_of(name) for name in configs}
+    if any("facts" in s for s in steps.values()) and (facts is None or companies is None):
+        raise ValueError("the facts step needs facts and companies")
     asked = questions.select("id", "text")
     first = cut_lineage(lexical(asked, chunks))
-    best: dict[tuple[bool, bool], DataFrame] = {}
+    best: dict[bool, DataFrame] = {}
     out = None
-    for c in configs:
-        how = (c.use_dense, c.use_reranker)
+    for name, own in steps.items():
+        how = "dense and rerank" in own
         if how not in best:
-            best[how] = cut_lineage(retrieve(asked, chunks, c, vector, found=first).where("rank = 1"))
-        scored = _scored(questions, best[how], c, fact_claims(questions, facts, companies) if c.use_xbrl else None)
+            best[how] = cut_lineage(retrieve(asked, chunks, own, vector, found=first).where("rank = 1"))
+        scored = _scored(questions, best[how], name, fact_claims(questions, facts, companies) if "facts" in own else None)
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def evaluate(questions: DataFrame, chunks: DataFrame, config: Config, vector: Callable[[Column], Column], facts: DataFrame | None = None, companies: DataFrame | None = None) -> DataFrame:
-    """:func:`evaluate_all` under one configuration."""
-    return evaluate_all(questions, chunks, [config], vector, facts, companies)
-
-
-def _scored(questions: DataFrame, best: DataFrame, config: Config, claims: DataFrame | None) -> DataFrame:
+def _scored(questions: DataFrame, best: DataFrame, config: str, claims: DataFrame | None) -> DataFrame:
     top = best.select(F.col("query").alias("id"), "doc", F.transform(extract_numbers("text"), lambda x: x["value"]).alias("values"))
     rows = questions.join(top, "id", "left").withColumn("acc", vf.numeric_accuracy(F.col("gold"), F.col("values")))
     if claims is None:
@@ -148,7 +138,7 @@ def _scored(questions: DataFrame, best: DataFrame, config: Config, claims: DataF
     tools = F.array(F.lit("filing_retriever"))
     mode = ev.classify_failure(F.col("values").isNotNull() | (F.col("n_facts") > 0), F.array().cast("array<string>"), matched, F.col("gold").isNotNull(), n, n, tools)
     return rows.select(
-        F.lit(config.name).alias("config"), "id", "tier", matched.alias("numerical_match"), error.alias("error_pct"),
+        F.lit(config).alias("config"), "id", "tier", matched.alias("numerical_match"), error.alias("error_pct"),
         F.when(n == 0, 1.0).otherwise(cited / n).alias("faithfulness"), mode.alias("failure_mode"),
     )
 
@@ -156,31 +146,3 @@ def _scored(questions: DataFrame, best: DataFrame, config: Config, claims: DataF
 def clamp_score(score: Column, has_gold: Column) -> Column:
     """A judge's score between 0 and 3; -1 where there is no gold answer."""
     return F.when(has_gold, F.greatest(F.lit(0), F.least(F.lit(3), score.cast("int")))).otherwise(-1)
-
-
-def agentic_tools(config: Config, vector: Callable[[Column], Column] | None) -> dict[str, Callable[..., DataFrame]]:
-    """The engine's tools as the configuration has them: its retrieval, and facts only with ``use_xbrl``."""
-
-    def filing_retriever(spark: SparkSession, sf: str, query: str, top_k: int = 10) -> DataFrame:
-        if not 1 <= top_k <= 50:
-            raise ValueError("top_k must be between 1 and 50")
-        chunks = table(spark, sf, "chunks").groupBy("id").agg(F.first("text").alias("text"), F.first("filing_id").alias("filing_id"))
-        asked = spark.createDataFrame([("0", query)], "id string, text string")
-        found = retrieve(asked, chunks.select("id", "text"), config, vector, top_k, max(20, top_k))
-        return found.join(chunks.select(F.col("id").alias("doc"), "filing_id"), "doc").orderBy("rank")
-
-    return {name: tool for name, tool in engine.TOOLS.items() if config.use_xbrl or name != "xbrl_sql"} | {"filing_retriever": filing_retriever}
-
-
-def run_agentic(spark: SparkSession, sf: str, questions: Sequence[str], config: Config, planner: Callable, vector: Callable[[Column], Column] | None = None) -> list[dict]:
-    """Latency, tools and claims of every question of a list, answered one after the other by the engine."""
-    if not config.use_agentic:
-        raise ValueError(f"{config.name}: straight configurations are run by evaluate")
-    if config.use_dense and vector is None:
-        raise ValueError(f"{config.name}: dense retrieval needs a vector")
-    out, tools = [], agentic_tools(config, vector)
-    for q in questions:
-        began = time.monotonic()
-        a = engine.answer(spark, sf, q, planner=planner, tools=tools, most_refinements=3 if config.use_reflection else 0)
-        out.append({"question": q, "config": config.name, "latency_ms": (time.monotonic() - began) * 1000, "used_tools": a.used_tools, "n_claims": len(a.claims), "tool_errors": a.errors})
-    return out

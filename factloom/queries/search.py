@@ -107,7 +107,7 @@ def eval_by_config(spark: SparkSession, sf: str) -> DataFrame:
     gold = F.get(extract_numbers("gold_answer"), F.lit(0))["value"]
     questions = table(spark, sf, "eval_items").select(F.col("item_id").alias("id"), "tier", F.col("question").alias("text"), gold.alias("gold"))
     docs = _docs(spark, sf).withColumnRenamed("doc_id", "id")
-    return ablation.evaluate_all(questions, docs, ablation.CONFIGS[:3], term_vector, table(spark, sf, "xbrl_facts"), table(spark, sf, "companies"))
+    return ablation.evaluate_all(questions, docs, [name for name, step in ablation.STEPS if step in ablation.RUN_HERE], term_vector, table(spark, sf, "xbrl_facts"), table(spark, sf, "companies"))
 
 
 QUERIES = {f.__name__: f for f in (fts_and_match, bm25_topk, cover_density_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_topk, eval_by_config)}

@@ -60,16 +60,3 @@ def release(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder; results that still read it must be saved before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small table that lies in fewer files than there are cores.
-
-    Tables with enough files, or large enough for a split per core, are left as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if 0 < files < cores and size < cores * split else df

@@ -1,14 +1,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import replace
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.plans import ablation, engine
-from factloom.plans.ablation import CONFIGS
+from factloom.plans import ablation
 from factloom.queries.search import eval_by_config, term_vector
 
 SF = "/root/testdata/sf0.001"
@@ -35,40 +33,32 @@ def setting(spark):
 
 def test_facts_step(spark):
     questions, chunks, facts, companies = setting(spark)
-    plain = replace(CONFIGS[0], name="plain")
-    got = {(r.config, r.id): r for r in ablation.evaluate_all(questions, chunks, [plain, replace(plain, name="facts", use_xbrl=True)], term_vector, facts, companies).collect()}
+    plain, with_facts = ablation.STEPS[0][0], ablation.STEPS[2][0]
+    got = {(r.config, r.id): r for r in ablation.evaluate_all(questions, chunks, [plain, with_facts], term_vector, facts, companies).collect()}
     assert len(got) == 12
     of = lambda config: [(got[config, i].numerical_match, None if got[config, i].error_pct is None else round(got[config, i].error_pct, 3), round(got[config, i].faithfulness, 3), got[config, i].failure_mode) for i in range(1, 7)]
     parse = "table_parsing_error"
-    assert of("plain") == [(False, None, 1.0, parse), (False, None, 1.0, parse), (False, 97.6, 1.0, parse), (True, 0.0, 1.0, "correct"), (None, None, 1.0, "correct"), (False, None, 1.0, "planning_failure")]
+    assert of(plain) == [(False, None, 1.0, parse), (False, None, 1.0, parse), (False, 97.6, 1.0, parse), (True, 0.0, 1.0, "correct"), (None, None, 1.0, "correct"), (False, None, 1.0, "planning_failure")]
     # 500, 501 (not cited) and 900 for questions without filters; other concepts, forms, unknown filers and NULL values are no claims
-    assert of("facts") == [
+    assert of(with_facts) == [
         (True, 0.0, 0.667, "correct"), (False, 549.351, 0.667, parse), (False, 80.0, 1.0, parse), (True, 0.0, 0.75, "correct"), (None, None, 0.5, "correct"), (True, 0.0, 1.0, "correct"),
     ]
 
 
-def test_flags_that_a_path_lacks(spark):
+def test_steps_that_are_not_run(spark):
     questions, chunks, facts, companies = setting(spark)
-    for config in CONFIGS[3:]:
-        with pytest.raises(ValueError, match="run_agentic"):
-            ablation.evaluate(questions, chunks, config, term_vector, facts, companies)
+    for name, _ in ablation.STEPS[3:]:
+        with pytest.raises(ValueError, match="not run here"):
+            ablation.evaluate_all(questions, chunks, [name], term_vector, facts, companies)
     with pytest.raises(ValueError, match="facts"):
-        ablation.evaluate(questions, chunks, CONFIGS[2], term_vector)
-    with pytest.raises(ValueError, match="straight"):
-        ablation.run_agentic(spark, SF, ["q"], CONFIGS[2], None, term_vector)
+        ablation.evaluate_all(questions, chunks, [ablation.STEPS[2][0]], term_vector)
     with pytest.raises(ValueError, match="vector"):
-        ablation.run_agentic(spark, SF, ["q"], CONFIGS[3], None)
-
-
-def test_every_question_is_asked(spark, monkeypatch):
-    answer = engine.Answer("q", [], [], 0, "t", [])
-    monkeypatch.setattr(engine, "answer", lambda *a, **kw: answer)
-    assert len(ablation.run_agentic(spark, SF, ["q"] * 1001, CONFIGS[4], None, term_vector)) == 1001
+        ablation.retrieve(questions.select("id", "text"), chunks, ablation.steps_of(ablation.STEPS[1][0]), None)
+    with pytest.raises(ValueError, match="unknown"):
+        ablation.steps_of("other")
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_tables(spark):
     rows = eval_by_config(spark, SF).groupBy("config").agg(F.count_distinct("id").alias("n")).collect()
-    assert {r.config: r.n for r in rows} == {c.name: 240 for c in CONFIGS[:3]}
-    got = ablation.run_agentic(spark, SF, ["statutory lenders and pensions"], CONFIGS[3], None, term_vector)
-    assert got[0]["tool_errors"] == [] and got[0]["n_claims"] == 10
+    assert {r.config: r.n for r in rows} == {name: 240 for name, _ in ablation.STEPS[:3]}

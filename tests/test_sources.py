@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import presentation as show
 from factloom.operators import vectors
 from factloom.operators.documents import html_to_text
-from factloom.plans.ablation import CONFIGS, clamp_score
+from factloom.plans.ablation import STEPS, clamp_score
 from factloom.sources import files, sinks
 
 
@@ -67,4 +67,4 @@ def test_embed_and_scores(spark):
     assert got == {1: [1.0, 0.0], 2: [0.0, 0.0]}
     s = spark.createDataFrame([(5, True), (-2, True), (2, True), (1, False)], "s int, g boolean")
     assert [r[0] for r in s.select(clamp_score(F.col("s"), F.col("g"))).collect()] == [3, 0, 2, -1]
-    assert len(CONFIGS) == 5
+    assert len(STEPS) == 5
