@@ -45,9 +45,9 @@ def section_diffs(pairs: DataFrame, texts: DataFrame, version: str, text: str) -
     """Adds added, removed (arrays of paragraphs), common and state to pairs of version_a and version_b.
 
     state: ``both``, ``only_b`` (all of it is added), ``only_a`` (all of it is removed) or ``missing``. Paragraphs
-    are those of :func:`distinct_paragraphs`; a document's paragraphs are gathered per document.
+    are those of :func:`distinct_paragraphs`, of which those with the same first 200 characters count as one; a document's paragraphs are gathered per document.
     """
-    paragraphs = distinct_paragraphs(texts.select(F.col(version).alias("_v"), F.col(text).alias("_t")), ["_v"], "_t")
+    paragraphs = distinct_paragraphs(texts.select(F.col(version).alias("_v"), F.col(text).alias("_t")), ["_v"], "_t", same_start=200)
     lists = paragraphs.groupBy("_v").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "paragraph"))), lambda x: x["paragraph"]).alias("_p"))
     there = texts.select(F.col(version).alias("_v")).distinct()
     known = there.join(lists, "_v", "left").select("_v", F.coalesce("_p", F.array().cast("array<string>")).alias("_p"))

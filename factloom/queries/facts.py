@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import calc
-from factloom.functions.concepts import tag_rows, tag_table
+from factloom.functions.concepts import TAGS, tag_table
 from factloom.operators import facts as op
 from factloom.operators.predicates import any_of, where
 from factloom.operators.quantiles import exact_median
@@ -184,7 +184,7 @@ def _ratio_sql(top: str, bottom: str) -> str:
       SELECT ticker, fiscal_year, numerator, denominator, round(numerator / nullif(denominator, 0) * 100, 6) AS pct FROM w JOIN companies USING (cik) WHERE numerator IS NOT NULL AND denominator IS NOT NULL"""
 
 
-_TAGS = ", ".join(f"('{t}', '{c}', {p})" for t, c, p in tag_rows())
+_TAGS = ", ".join(f"('{t}', '{c}', {p})" for t, c, p in TAGS)
 
 SQL = {
     "facts_by_company_year": f"""SELECT ticker, fiscal_year, canonical_concept, cast(value AS DOUBLE) AS value, fiscal_period, period_end, id FROM xbrl_facts JOIN companies USING (cik)

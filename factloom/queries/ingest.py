@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.concepts import base_form, tag_rows, tag_table
+from factloom.functions.concepts import TAGS, base_form, tag_table
 from factloom.functions.keys import accession_key
 from factloom.operators import ingest as op
 from factloom.operators.predicates import split_list
@@ -137,7 +137,7 @@ QUERIES = {
     )
 }
 
-_TAGS = "tags(concept, canonical) AS (VALUES " + ", ".join(f"('{t}', '{c}')" for t, c, _ in tag_rows()) + ")"
+_TAGS = "tags(concept, canonical) AS (VALUES " + ", ".join(f"('{t}', '{c}')" for t, c, _ in TAGS) + ")"
 _BASE = "upper(trim(regexp_replace(form, '(?i)/A\\s*$', '')))"
 _ACC = "nullif(regexp_replace(accession_number, '[-\\s]', '', 'g'), '')"
 

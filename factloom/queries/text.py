@@ -16,16 +16,29 @@ COMPARING = (
 SINGLE_FACT = (r"\bwhat\s+was\b", r"\bhow\s+much\s+did\b", r"\breport(?:ed)?\b")
 
 
-def looks_like_single_fact(question: Column) -> Column:
-    """A short question after one fact that compares nothing."""
+def named_tickers(questions: DataFrame, question: str, companies: DataFrame) -> DataFrame:
+    """Adds n_tickers: how many tickers of the universe a question names, as whole words in capitals."""
+    words = F.array_distinct(F.regexp_extract_all(F.col(question), F.lit(r"\b([A-Z][A-Z0-9.\-]*)\b"), F.lit(1)))
+    asked = questions.select(F.xxhash64(question).alias("_q"), F.explode(words).alias("ticker")).distinct()
+    known = companies.select("ticker").where("ticker IS NOT NULL").distinct()
+    counts = asked.join(known, "ticker").groupBy("_q").agg(F.count(F.lit(1)).alias("n_tickers"))
+    return questions.withColumn("_q", F.xxhash64(question)).join(counts, "_q", "left").drop("_q").fillna(0, ["n_tickers"])
+
+
+def looks_like_single_fact(question: Column, n_tickers: Column) -> Column:
+    """A short question after one fact of one company that compares nothing."""
     q = F.lower(question)
     any_of = lambda patterns: F.rlike(q, F.lit("|".join(f"(?:{p})" for p in patterns)))
     short = F.size(F.split(F.trim(q), r"\s+")) < 16
-    return F.coalesce(~any_of(COMPARING) & any_of(SINGLE_FACT) & short, F.lit(False))
+    return F.coalesce(~any_of(COMPARING) & any_of(SINGLE_FACT) & short & (n_tickers <= 1), F.lit(False))
 
 
 def question_tier(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "eval_items").select("item_id", looks_like_single_fact(F.col("question")).alias("single_fact"))
+    """Evaluation items, and the same questions with two companies' tickers in front."""
+    items, companies = table(spark, sf, "eval_items").select("item_id", "question"), table(spark, sf, "companies").select("ticker")
+    two = companies.agg(F.concat_ws(" ", F.min("ticker"), F.max("ticker")).alias("two"))
+    both = items.select("item_id", F.lit(False).alias("two_named"), "question").unionByName(items.join(two).select("item_id", F.lit(True).alias("two_named"), F.concat_ws(" ", "two", "question").alias("question")))
+    return named_tickers(both, "question", companies).select("item_id", "two_named", looks_like_single_fact(F.col("question"), F.col("n_tickers")).alias("single_fact"))
 
 
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,11 +117,14 @@ QUERIES = {
 _any = lambda patterns: "|".join(f"(?:{p})" for p in patterns)
 _PARTS = r"""parts AS (SELECT key, unnest(range(len(p))) AS pos, trim(unnest(p), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS paragraph FROM
   (SELECT key, string_split(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10) || chr(10)) AS p FROM source)),
-  kept AS (SELECT * FROM parts WHERE length(paragraph) >= 20 QUALIFY row_number() OVER (PARTITION BY key, substring(paragraph, 1, 200) ORDER BY pos) = 1)"""
+  kept AS (SELECT * FROM parts WHERE length(paragraph) >= 20 QUALIFY row_number() OVER (PARTITION BY key, paragraph ORDER BY pos) = 1)"""
 
 SQL = {
-    "question_tier": f"""SELECT item_id, coalesce(NOT regexp_matches(lower(question), '{_any(COMPARING)}') AND regexp_matches(lower(question), '{_any(SINGLE_FACT)}')
-      AND len(string_split_regex(trim(question), '\\s+')) < 16, false) AS single_fact FROM eval_items""",
+    "question_tier": f"""WITH two AS (SELECT min(ticker) || ' ' || max(ticker) AS two FROM companies),
+      q AS (SELECT item_id, false AS two_named, question FROM eval_items UNION ALL SELECT item_id, true, two || ' ' || question FROM eval_items, two),
+      n AS (SELECT item_id, two_named, count(DISTINCT ticker) AS n FROM q JOIN companies ON list_contains(regexp_extract_all(question, '\\b([A-Z][A-Z0-9.\\-]*)\\b', 1), ticker) GROUP BY 1, 2)
+      SELECT item_id, two_named, coalesce(NOT regexp_matches(lower(question), '{_any(COMPARING)}') AND regexp_matches(lower(question), '{_any(SINGLE_FACT)}')
+      AND len(string_split_regex(trim(question), '\\s+')) < 16 AND coalesce(n, 0) <= 1, false) AS single_fact FROM q LEFT JOIN n USING (item_id, two_named)""",
     "chunk_offsets_valid": """SELECT c.id, s.id AS section_id, coalesce(c.char_offset_start < c.char_offset_end AND c.char_offset_end - s.char_offset_start <= length(text_md), false) AS in_range,
       coalesce(c.char_offset_start < c.char_offset_end AND c.char_offset_end - s.char_offset_start <= length(text_md)
         AND substring(text_md, c.char_offset_start - s.char_offset_start + 1, c.char_offset_end - c.char_offset_start) = text, false) AS same_text

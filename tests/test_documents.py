@@ -14,14 +14,20 @@ def test_html():
     assert documents.plain_text(None) is None and documents.plain_text("") == ""
 
 
-def test_sections():
+def sections(spark, text, form):
+    df = spark.createDataFrame([(1, text, form)], "id int, body string, form string")
+    return sorted(documents.detect_sections(df, "id", "body", "form").collect(), key=lambda r: r.char_start)
+
+
+def test_sections(spark):
     text = f"Cover\nITEM 1. Business\n{BODY}Item 1A - Risk Factors\n{BODY}Item 5. Other\n{BODY}Item 7. Short\nno\n"
-    found = documents.sections_of(text, "10-K/A")
+    found = sections(spark, text, "10-K/A")
     assert [(s["section"], s["item_label"]) for s in found] == [("Item 1", "Business"), ("Item 1A", "Risk Factors")]
     assert all(text[s["char_start"] : s["char_end"]] == s["text"] for s in found)
-    assert documents.sections_of("nothing here", "10-K")[0]["section"] == "Document"
-    assert documents.sections_of(f"Item 5. Other\n{BODY}", "10-K") == []
-    eight = documents.sections_of(f"Item 2.02 Results\n{BODY}", "8-K")
+    assert found[0].char_start == 5 and found[0].char_end == found[1].char_start
+    assert sections(spark, "nothing here", "10-K")[0]["section"] == "Document"
+    assert sections(spark, f"Item 5. Other\n{BODY}", "10-K") == []
+    eight = sections(spark, f"Item 2.02 Results\n{BODY}", "8-K")
     assert eight[0]["item_label"] == "Results of Operations and Financial Condition"
 
 
@@ -31,7 +37,13 @@ def test_chunks():
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
     assert all(b - a <= 1000 for a, b in spans) and all(x[1] - y[0] >= 150 for x, y in zip(spans, spans[1:]))
     assert documents.paragraph_chunks("x" * 5000, 1000, 150) == [(0, 5000)] and documents.paragraph_chunks("\n\n", 10, 2) == []
-    assert documents.paragraph_chunks("a" * 900 + "\n" + "b" * 950, 1000, 150) == [(0, 900), (901, 1851)]
+    assert documents.paragraph_chunks("a" * 900 + "\n" + "b" * 950, 1000, 150) == [(0, 900), (0, 1851)]
+
+
+def test_chunks_always_share():
+    text = "\n".join(["s" * 300] * 12 + ["x" * 4000] + ["t" * 300] * 3)
+    spans = documents.paragraph_chunks(text)
+    assert all(x[1] - y[0] >= 200 and x[1] < y[1] for x, y in zip(spans, spans[1:])) and spans[-1][1] == len(text) and len(spans) > 2
 
 
 def test_section_frames(spark):
@@ -48,8 +60,9 @@ def test_slices(spark):
 def test_paragraphs(spark):
     same = "p" * 210
     df = spark.createDataFrame([(1, f"first paragraph of text\n\nshort\n\n{same}1\n\n{same}2\n\n  last paragraph of text ")], "id int, t string")
-    rows = documents.distinct_paragraphs(df, ["id"], "t").orderBy("pos").collect()
+    rows = documents.distinct_paragraphs(df, ["id"], "t", same_start=200).orderBy("pos").collect()
     assert [(r.pos, r.paragraph[:4]) for r in rows] == [(0, "firs"), (2, "pppp"), (4, "last")]
+    assert [r.pos for r in documents.distinct_paragraphs(df, ["id"], "t").orderBy("pos").collect()] == [0, 2, 3, 4]
 
 
 def test_diff():

@@ -5,13 +5,13 @@ import json
 
 from pyspark.sql import functions as F
 
-from factloom.functions.concepts import base_form, tag_rows, tag_table
+from factloom.functions.concepts import TAGS, base_form, tag_table
 from factloom.operators import facts, ingest
 from factloom.operators.predicates import split_list, unknown_values, where
 
 
 def test_tags():
-    rows = tag_rows()
+    rows = TAGS
     assert len(rows) == 51 and len({c for _, c, _ in rows}) == 36 and sum(c == "revenue" for _, c, _ in rows) == 9 and len({t for t, _, _ in rows}) == 51
 
 
@@ -28,7 +28,7 @@ def test_parallel_arrays(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"], [1, 2]), (2, [], [1]), (3, None, [1])], "k int, x array<string>, y array<int>")
     assert sorted(tuple(r) for r in ingest.parallel_rows(df, ["k"], ["x", "y"]).collect()) == [(1, "a", 1), (1, "b", 2)]
     pages = ingest.concat_pages([df.select("k"), spark.createDataFrame([(9, "z")], "k int, w string")])
-    assert sorted(tuple(r) for r in pages.collect()) == [(1, None), (2, None), (3, None), (9, "z")] or pages.count() == 4
+    assert sorted(tuple(r) for r in pages.collect()) == [(1, None), (2, None), (3, None), (9, "z")]
 
 
 def test_dates_and_documents(spark):
