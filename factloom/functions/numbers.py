@@ -2,47 +2,43 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # What a suffix multiplies by. There is no word boundary after a suffix: "3 Tesla" is three trillion.
 MULTIPLIERS = {"trillion": 1e12, "tn": 1e12, "t": 1e12, "billion": 1e9, "bn": 1e9, "b": 1e9, "million": 1e6, "mn": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3}
 # The spelling of numbers and of suffixes.
-_DIGITS = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?|\.[0-9]+"
-_SUFFIX = "billion|million|thousand|trillion|bn|mn|tn|b|m|k|t|%"
-_PATTERN = re.compile(rf"({_DIGITS})(\))?\s*({_SUFFIX})?", re.IGNORECASE)
+DIGITS = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?|\.[0-9]+"
+SUFFIX = "billion|million|thousand|trillion|bn|mn|tn|b|m|k|t|%"
+_BLANK = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]*"
+#: The first group is a number in accounting brackets, opened within the five characters before it and closed right after it.
+_NUMBER = rf"(?is)(?:(?<=\(.{{0,4}})({DIGITS})\)|(?:{DIGITS})\)?){_BLANK}(?:{SUFFIX})?"
 
-NUMBER = T.StructType([T.StructField("raw", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("is_percent", T.BooleanType()), T.StructField("is_negative", T.BooleanType())])
 
+def extract_numbers(text: Column | str) -> Column:
+    """array<struct(raw, value, is_percent, is_negative)> of a text's numbers in order, on the JVM; empty for a NULL text.
 
-def numbers_in(text: str | None) -> list[dict]:
-    """Numbers of a text in order. A number in accounting brackets, opened within the five characters
-    before it and closed right after its digits, is negative; percentages are not scaled."""
-    out = []
-    for m in _PATTERN.finditer(text or ""):
-        suffix = (m[3] or "").lower()
-        negative = m[2] is not None and "(" in text[max(0, m.start() - 5) : m.start()]
-        value = float(m[1].replace(",", "")) * MULTIPLIERS.get(suffix, 1.0)
-        out.append({"raw": m[0].strip(), "value": -value if negative else value, "is_percent": suffix == "%", "is_negative": negative})
-    return out
+    A number in accounting brackets is negative. A suffix scales its number, but percentages are not scaled.
+    """
+    col = F.col(text) if isinstance(text, str) else text
+    found = lambda group: F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(_NUMBER), F.lit(group))
+    scale = F.create_map(*[x for k, v in MULTIPLIERS.items() for x in (F.lit(k), F.lit(v))])
 
+    def number(pair: Column) -> Column:
+        raw, negative = pair["raw"], pair["bracketed"] != ""
+        digits = F.regexp_replace(F.regexp_extract(raw, rf"^({DIGITS})", 1), ",", "").cast("double")
+        suffix = F.lower(F.regexp_extract(raw, rf"(?i)({SUFFIX})$", 1))
+        size = digits * F.coalesce(F.try_element_at(scale, suffix), F.lit(1.0))
+        trimmed = F.regexp_replace(raw, rf"{_BLANK}$", "")
+        return F.struct(trimmed.alias("raw"), F.when(negative, -size).otherwise(size).alias("value"), (suffix == "%").alias("is_percent"), negative.alias("is_negative"))
 
-@F.pandas_udf(T.ArrayType(NUMBER))
-def extract_numbers(text: pd.Series) -> pd.Series:
-    return text.map(numbers_in)
+    # Zipped, for within the lambda the second array would be found anew for each number.
+    return F.transform(F.arrays_zip(found(0).alias("raw"), found(1).alias("bracketed")), number)
 
 
 def unsigned_values(text: Column) -> Column:
-    """The absolute values of a text's numbers without a Python step."""
-    raw = F.regexp_extract_all(F.lower(text), F.lit(rf"({_DIGITS})(\)?\s*(?:{_SUFFIX})?)"), F.lit(0))
-    scale = F.create_map(*[x for k, v in MULTIPLIERS.items() for x in (F.lit(k), F.lit(v))])
-    digits = lambda r: F.regexp_replace(F.regexp_extract(r, rf"^({_DIGITS})", 1), ",", "").cast("double")
-    suffix = lambda r: F.regexp_extract(r, rf"^(?:{_DIGITS})\)?\s*({_SUFFIX})?$", 1)
-    return F.transform(raw, lambda r: digits(r) * F.coalesce(F.try_element_at(scale, suffix(r)), F.lit(1.0)))
+    """The absolute values of a text's numbers."""
+    return F.transform(extract_numbers(text), lambda n: F.abs(n["value"]))
 
 
 def match_number(target: Column, values: Column, tolerance_pct: float = 0.5) -> Column:

@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.keys import accession_key
 from factloom.functions.numbers import extract_numbers, match_number
 from factloom.operators.documents import slice_text
+from factloom.operators.ingest import lookup_by_id_or_accession
 
 TOLERANCE_PCT, SEMANTIC_THRESHOLD = 0.5, 0.55
 
 
-def resolve_citations(citations: DataFrame, chunks: DataFrame | None, sections: DataFrame) -> DataFrame:
-    """Adds cited_text and problem to citations of (filing_id, char_offset_start, char_offset_end).
+def resolve_citations(citations: DataFrame, chunks: DataFrame, sections: DataFrame, filings: DataFrame) -> DataFrame:
+    """Adds filing_id, cited_text and problem to citations of (ref, char_offset_start, char_offset_end).
 
-    An exact chunk is taken first (of several the least text; none if no chunks are given), else the slice of the filing's section that covers the
-    offsets. problem: ``filing_missing`` where the filing has no section, ``offset_invalid`` where no section covers the offsets.
-    ``citations`` must have a unique citation_id.
+    ``ref`` is a filing's id or its accession number in any spelling. At the filing's offsets, an exact chunk is taken first (of several
+    the least text), else the slice of the filing's section that covers the offsets (the least of several). problem:
+    ``filing_missing`` where no filing is meant or it has neither chunk nor section, ``offset_invalid`` where no section covers the
+    offsets. ``citations`` must have a unique citation_id and no column filing_id.
     """
     place = ["filing_id", "char_offset_start", "char_offset_end"]
-    none = citations.withColumn("_chunk", F.lit(None).cast("string"))
-    known = none if chunks is None else citations.join(chunks.groupBy(*place).agg(F.min("text").alias("_chunk")), place, "left")
+    meant = lookup_by_id_or_accession(citations, "ref", filings, accession_key(F.col("accession_number")))
+    known = meant.join(chunks.groupBy(*place).agg(F.min("text").alias("_chunk")), place, "left")
     parts = sections.select("filing_id", F.col("char_offset_start").alias("_base"), F.col("text_md").alias("_body"))
     start, stop = F.col("char_offset_start") - F.col("_base"), F.col("char_offset_end") - F.col("_base")
     cut = slice_text(F.col("_body"), start, stop)
-    sliced = citations.join(parts, "filing_id").groupBy("citation_id").agg(F.min(cut).alias("_slice"), F.count(F.lit(1)).alias("_sections"))
+    sliced = known.where("_chunk IS NULL").select("citation_id", *place).join(parts, "filing_id").groupBy("citation_id").agg(F.min(cut).alias("_slice"), F.count(F.lit(1)).alias("_sections"))
     found = known.join(sliced, "citation_id", "left").withColumn("cited_text", F.coalesce("_chunk", "_slice"))
     problem = F.when(F.col("cited_text").isNotNull(), None).when(F.col("_sections").isNull(), "filing_missing").otherwise("offset_invalid")
     return found.withColumn("problem", problem).drop("_chunk", "_slice", "_sections")
@@ -45,10 +48,12 @@ def verdict(is_numeric: Column, value: Column, problem: Column, match: Column, s
     return F.when(problem.isNotNull(), out(False, problem, none, none)).when(is_numeric, numeric).otherwise(narrative)
 
 
-def verify_claims(claims: DataFrame, similarity: Column, tolerance_pct: float = TOLERANCE_PCT, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
-    """Adds the verdict to claims with is_numeric, numeric_value, cited_text and problem."""
-    values = F.transform(F.coalesce(extract_numbers("cited_text"), F.array()), lambda n: n["value"])
-    rows = claims.withColumn("_values", values)
+def verify_claims(claims: DataFrame, similarity: Column, tolerance_pct: float = TOLERANCE_PCT, threshold: float = SEMANTIC_THRESHOLD, values: Column | None = None) -> DataFrame:
+    """Adds the verdict to claims with is_numeric, numeric_value, cited_text and problem.
+
+    ``values``: the numbers of the cited text, if they are there already.
+    """
+    rows = claims.withColumn("_values", F.transform(extract_numbers("cited_text"), lambda n: n["value"]) if values is None else values)
     match = match_number(F.col("numeric_value"), F.col("_values"), tolerance_pct)
     rows = rows.withColumn("_match", match)
     v = verdict(F.col("is_numeric"), F.col("numeric_value"), F.col("problem"), F.col("_match"), similarity, tolerance_pct, threshold)

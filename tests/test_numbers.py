@@ -3,21 +3,33 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions.numbers import match_number, numbers_in, unsigned_values
+from factloom.functions.numbers import extract_numbers, match_number, unsigned_values
 from factloom.operators import verification as vf
 
 
+@pytest.fixture(scope="module")
+def numbers_in(spark):
+    return lambda text: spark.createDataFrame([(text,)], "t string").select(extract_numbers("t")).first()[0]
+
+
 @pytest.mark.parametrize("text, want", [("$96.995 billion", 96.995e9), ("$(96.9) million", -96.9e6), ("25%", 25), (".25", 0.25), ("1,234.56", 1234.56), ("3 Tesla", 3e12), ("4 min", 4e6), ("12 bn", 12e9)])
-def test_values(text, want):
+def test_values(numbers_in, text, want):
     assert numbers_in(text)[0]["value"] == pytest.approx(want)
 
 
-def test_flags():
+def test_flags(numbers_in):
     assert numbers_in("25%")[0]["is_percent"] and numbers_in("(5) and 6")[0]["is_negative"] and not numbers_in("(5 and 6)")[1]["is_negative"]
     assert numbers_in(None) == [] and numbers_in("none") == []
 
 
-def test_native(spark):
+def test_brackets(numbers_in):
+    signs = lambda t: [n["value"] for n in numbers_in(t)]
+    assert signs("(1,234.5) and ($ 12) and (abc 7) and ( abc 8)") == [-1234.5, -12, -7, 8]
+    assert signs("loss (12.5)\u00a0million, 3 %") == [-12.5e6, 3] and signs("(12.34.5) (1") == [12.34, 0.5, 1]
+    assert numbers_in("net (4) bn ")[0]["raw"] == "4) bn" and numbers_in("5 % of")[0]["is_percent"]
+
+
+def test_native(spark, numbers_in):
     text = "Sales of $1,234.5 million, (7) thousand and 12% or .5bn"
     got = spark.createDataFrame([(text,)], "t string").select(unsigned_values(F.col("t"))).first()[0]
     assert got == pytest.approx([abs(n["value"]) for n in numbers_in(text)])
