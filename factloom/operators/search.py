@@ -1,8 +1,8 @@
-"""Full-text search over a postings table.
+"""Full-text search over postings of the words that are asked for.
 
-Postings are rows (doc, term, tf, positions); a set of queries is rows (query, term). Searching joins the
-two on the term, so each query term reads only its own postings, and ranks per query. Scores are
-computed on ids; texts are joined after the cut.
+Postings are rows (doc, len, term, tf, positions); a set of queries is rows (query, term). Words that no query asks for are
+dropped where the text is, so what is shuffled are hits. A corpus that is searched often has its whole postings written once as
+a table. Scores are computed on ids; texts are joined after the cut.
 """
 
 from __future__ import annotations
@@ -12,30 +12,74 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that no query asks for.
-STOP_WORDS = """a about after all an and are as at be been but by can did do does for from had has have he how if in into is it its more most no not of on or other our
-out over s so some such t than that the their then there these they this those to under up was we were what when where which while who will with would you your""".split()
-
+from factloom.operators.ingest import latest_per_key
+from factloom.operators.predicates import where
+from factloom.session import cut_lineage
 
-def tokens(text: Column) -> Column:
+# Words that no query asks for.
+STOP_WORDS = [
+    "a", "about", "after", "all", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "did", "do", "does", "for", "from", "had", "has",
+    "have", "he", "how", "if", "in", "into", "is", "it", "its", "more", "most", "no", "not", "of", "on", "or", "other", "our", "out", "over", "s",
+    "so", "some", "such", "t", "than", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "under", "up", "was", "we",
+    "were", "what", "when", "where", "which", "while", "who", "will", "with", "would", "you", "your",
+]
+#: Most distinct query terms that are broadcast to the texts; beyond it terms and texts meet in a shuffle.
+BROADCAST_TERMS = 100_000
+
+
+def stem(word: Column) -> Column:
+    """An English word without its plural ending: -ies becomes -y, -es -e, and -s is dropped, but not after u or s."""
+    return (
+        F.when(word.rlike("[^ea]ies$"), F.regexp_replace(word, "ies$", "y"))
+        .when(word.rlike("[^aeo]es$"), F.regexp_replace(word, "s$", ""))
+        .when(word.rlike("[^aeus]s$"), F.regexp_replace(word, "s$", ""))
+        .otherwise(word)
+    )
+
+
+def tokens(text: Column, stemmed: bool = False) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    return F.transform(words, stem) if stemmed else words
+
 
+def postings(docs: DataFrame, doc_id: str, text: str, positions: bool = False, terms: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
+    """(doc, len, term, tf) of each document's terms, with positions on request; NULL and empty texts have none.
 
-def postings(docs: DataFrame, doc_id: str, text: str, positions: bool = False) -> DataFrame:
-    """(doc, term, tf, len) of each document's terms, with positions on request; NULL and empty texts have none."""
-    words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(text)).alias("w")).withColumn("len", F.size("w"))
+    ``terms``: keep only these, which are broadcast if they are few.
+    """
+    words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(text), stemmed).alias("w")).withColumn("len", F.size("w"))
     rows = words.select("doc", "len", F.posexplode("w").alias("pos", "term"))
+    if terms is not None:
+        wanted = terms.select("term").distinct()
+        rows = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term")
     extra = [F.array_sort(F.collect_list("pos")).alias("positions")] if positions else []
     return rows.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"), *extra)
 
 
-def query_terms(queries: DataFrame, query_id: str, text: str, drop_stop_words: bool = True) -> DataFrame:
-    """(query, term, n_terms): the distinct terms of each query."""
-    terms = F.array_distinct(tokens(F.col(text)))
+def corpus_size(docs: DataFrame, text: str, stemmed: bool = False) -> DataFrame:
+    """One row: n_docs, how many texts have words, and avg_len, how many they have on average."""
+    return docs.select(F.size(tokens(F.col(text), stemmed)).alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
+
+
+def query_terms(queries: DataFrame, query_id: str, text: str, drop_stop_words: bool = True, stemmed: bool = False) -> DataFrame:
+    """(query, term_no, term, n_terms): the distinct terms of each query, numbered from 0."""
+    terms = tokens(F.col(text))
     if drop_stop_words:
         terms = F.filter(terms, lambda t: ~t.isin(STOP_WORDS))
-    return queries.select(F.col(query_id).alias("query"), terms.alias("t")).select("query", F.explode("t").alias("term"), F.size("t").alias("n_terms"))
+    terms = F.array_distinct(F.transform(terms, stem) if stemmed else terms)
+    return queries.select(F.col(query_id).alias("query"), terms.alias("t")).select("query", F.posexplode("t").alias("term_no", "term"), F.size("t").alias("n_terms"))
+
+
+def chunk_directory(chunks: DataFrame, filings: DataFrame, companies: DataFrame, **filters: object) -> DataFrame:
+    """Chunks with ticker, fiscal_year and form of their filing and company; repeated ids once, unknown filings and companies not at all.
+
+    ``filters``: ticker, fiscal_year, form, section; empty ones are no filter. They are applied to the tables before these are joined.
+    """
+    own = {k: v for k, v in filters.items() if k not in ("ticker", "fiscal_year", "form")}
+    dated = where(filings.select(F.col("id").alias("filing_id"), "cik", "fiscal_year", "form"), **{k: filters[k] for k in ("fiscal_year", "form") if k in filters})
+    known = where(companies.select("cik", "ticker"), **{k: filters[k] for k in ("ticker",) if k in filters})
+    return latest_per_key(where(chunks, **own), ["id"], ["created_at", "char_offset_start"]).join(dated.join(known, "cik"), "filing_id")
 
 
 def match_all(posts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -44,38 +88,44 @@ def match_all(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.where("n = n_terms").select("query", "doc")
 
 
-def bm25(posts: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75, few_terms: bool = False) -> DataFrame:
+def bm25(posts: DataFrame, terms: DataFrame, size: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, score): BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); any term may match.
 
-    ``few_terms``: the queries' terms are broadcast with their frequencies, so postings stay where they are.
+    ``size``: :func:`corpus_size`, needed where ``posts`` hold only the terms asked for; else it is taken from them.
     """
-    small = F.broadcast if few_terms else lambda x: x
-    per_doc = posts.groupBy("doc").agg(F.first("len").alias("len"))
-    n_docs, avg_len = per_doc.select(F.count(F.lit(1))).scalar(), per_doc.select(F.avg("len")).scalar()
-    wanted = terms.select("term").distinct()
-    df = posts.join(small(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-    rows = posts.join(small(terms), "term").join(small(df), "term")
+    if size is None:
+        size = posts.groupBy("doc").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    known = size.first()
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(known["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(known["avg_len"] or 1.0)))
+    rows = posts.join(terms.select("query", "term").join(df, "term"), "term")
     return rows.groupBy("query", "doc").agg(F.sum(idf * tf).alias("score"))
 
 
+def search(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k: int, stemmed: bool = False) -> DataFrame:
+    """(query, doc, score, rank): the best ``k`` documents of each query by BM25. Hits are written once and read for
+    frequencies and scores; scores are rounded to nine places so that ties don't hang on the order of addition."""
+    terms = cut_lineage(query_terms(queries, query_id, query, stemmed=stemmed))
+    posts = cut_lineage(postings(docs, doc_id, text, terms=terms, stemmed=stemmed))
+    return top_k(bm25(posts, terms, corpus_size(docs, text, stemmed)).withColumn("score", F.round("score", 9)), k)
+
+
 def cover_density(posts: DataFrame, terms: DataFrame) -> DataFrame:
     """(query, doc, score) of documents with all terms: the sum over minimal covers of 1 / length.
 
-    ``posts`` must have positions. A cover is a shortest stretch of words with every query term; its
-    places per document are gathered for the query's terms only.
+    ``posts`` must have positions. A cover is a shortest stretch of words with every query term. Each place knows the last place
+    of every term up to it by a running maximum per term number, so the work grows with the places, not their square.
     """
-    place = F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term")))
-    rows = posts.join(terms, "term").withColumn("place", place)
-    per_doc = rows.groupBy("query", "doc", "n_terms").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.flatten(F.collect_list("place"))).alias("places")).where("n = n_terms")
-    hits = per_doc.select("query", "doc", "n_terms", F.posexplode("places").alias("i", "x")).select("query", "doc", "n_terms", F.col("x.pos").alias("pos"), F.col("x.term").alias("term"))
-    last_seen = Window.partitionBy("query", "doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    # The latest place of each term up to here; the earliest of them opens the cover that ends here.
-    seen = F.collect_list(F.struct("term", "pos")).over(last_seen)
-    latest = F.aggregate(seen, F.create_map().cast("map<string,int>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["term"]), F.create_map(x["term"], x["pos"])))
-    covers = hits.withColumn("latest", latest).where(F.size("latest") == F.col("n_terms")).withColumn("start", F.array_min(F.map_values("latest")))
-    shortest = covers.groupBy("query", "doc", "start").agg(F.min("pos").alias("pos"))
+    most = terms.agg(F.max("n_terms")).first()[0] or 0
+    rows = posts.join(terms, "term").select("query", "doc", "term_no", "n_terms", "positions")
+    full = rows.groupBy("query", "doc").agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("_n")).where("n = _n").select("query", "doc")
+    hits = rows.join(full, ["query", "doc"]).select("query", "doc", "term_no", "n_terms", F.explode("positions").alias("pos"))
+    so_far = Window.partitionBy("query", "doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = hits.select("*", *[F.max(F.when(F.col("term_no") == k, F.col("pos"))).over(so_far).alias(f"_{k}") for k in range(most)])
+    # NULL as long as a term hasn't come; terms beyond the query's own don't count.
+    start = F.least(*[F.lit(1 << 30)] * 2, *[F.when(F.col("n_terms") > k, F.coalesce(f"_{k}", F.lit(-1))).otherwise(1 << 30) for k in range(most)])
+    shortest = last.select("query", "doc", "pos", start.alias("start")).where("start >= 0").groupBy("query", "doc", "start").agg(F.min("pos").alias("pos"))
     return shortest.groupBy("query", "doc").agg(F.sum(1 / (F.col("pos") - F.col("start") + 1)).alias("score"))
 
 

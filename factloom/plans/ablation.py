@@ -44,13 +44,8 @@ def steps_of(name: str) -> list[str]:
 
 
 def lexical(questions: DataFrame, chunks: DataFrame, pool: int = 20) -> DataFrame:
-    """(query, doc, score, rank): the best chunks of each question by BM25.
-
-    Texts are dealt out by id beforehand, so the scores of many questions are summed and cut to the best where
-    the text is, and are not shuffled.
-    """
-    posts = search.postings(chunks.repartition("id"), "id", "text")
-    return search.top_k(search.bm25(posts, search.query_terms(questions, "id", "text"), few_terms=True).withColumn("score", F.round("score", 9)), pool)
+    """(query, doc, score, rank): the best chunks of each question by BM25."""
+    return search.search(chunks, questions, "id", "text", "id", "text", pool)
 
 
 def retrieve(

@@ -15,42 +15,62 @@ from factloom.functions.numbers import extract_numbers
 from factloom.operators import search, vectors
 from factloom.operators.predicates import where
 from factloom.plans import ablation
+from factloom.session import cut_lineage
 from factloom.sources.tables import table
 
 _K = 10
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions of the evaluation items; of each the three longest words, so that some text has all."""
+    """Questions of the evaluation items whose id is divisible by 50."""
     return table(spark, sf, "eval_items").where("item_id % 50 = 0").select("item_id", "question")
 
 
-def _short_queries(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.array_distinct(search.tokens(F.col("question")))
-    longest = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1, 2)
-    return _queries(spark, sf).withColumn("question", F.array_join(F.transform(longest, lambda x: x["w"]), " "))
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every label that a section has, as a query of its own."""
+    return table(spark, sf, "filing_sections").select(F.col("item_label").alias("label")).where("label IS NOT NULL").distinct()
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
+def _sections(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "filing_sections").select("id", "text_md")
+
+
 def fts_and_match(spark: SparkSession, sf: str) -> DataFrame:
-    posts = search.postings(_docs(spark, sf), "doc_id", "text")
-    return search.match_all(posts, search.query_terms(_short_queries(spark, sf), "item_id", "question")).withColumnsRenamed({"query": "item_id", "doc": "doc_id"})
+    """Sections with all words of a label, whatever their number."""
+    terms = search.query_terms(_labels(spark, sf), "label", "label", stemmed=True)
+    posts = search.postings(_sections(spark, sf), "id", "text_md", terms=terms, stemmed=True)
+    return search.match_all(posts, terms).withColumnsRenamed({"query": "label", "doc": "section_id"})
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    posts = search.postings(_docs(spark, sf), "doc_id", "text")
-    scored = search.bm25(posts, search.query_terms(_queries(spark, sf), "item_id", "question"))
-    best = search.top_k(scored.withColumn("score", F.round("score", 9)), _K)
+    best = search.search(_docs(spark, sf), _queries(spark, sf), "doc_id", "text", "item_id", "question", _K)
     return best.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
+_FILTERS = {"form": ["10-K", "10-Q"], "section": ["Item 1A", "Item 2", "Item 7"], "fiscal_year": list(range(2013, 2020))}
+
+
+def _directory(spark: SparkSession, sf: str, **filters: object) -> DataFrame:
+    return search.chunk_directory(table(spark, sf, "chunks"), table(spark, sf, "filings"), table(spark, sf, "companies"), **filters)
+
+
+def bm25_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexical search among chunks of annual and quarterly reports, three items and seven years."""
+    chunks = _directory(spark, sf, **_FILTERS)
+    best = search.search(chunks, _queries(spark, sf), "id", "text", "item_id", "question", _K)
+    about = chunks.select(F.col("id").alias("doc"), "ticker", "fiscal_year", "form", "section")
+    return best.join(about, "doc").select(F.col("query").alias("item_id"), F.col("doc").alias("chunk_id"), "ticker", "fiscal_year", "form", "section", "rank", F.round("score", 6).alias("score"))
+
+
 def cover_density_topk(spark: SparkSession, sf: str) -> DataFrame:
-    posts = search.postings(_docs(spark, sf), "doc_id", "text", positions=True)
-    best = search.top_k(search.cover_density(posts, search.query_terms(_short_queries(spark, sf), "item_id", "question")), _K)
-    return best.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+    terms = search.query_terms(_labels(spark, sf), "label", "label")
+    posts = search.postings(_sections(spark, sf), "id", "text_md", positions=True, terms=terms)
+    best = search.top_k(search.cover_density(posts, terms).withColumn("score", F.round("score", 9)), _K)
+    return best.select(F.col("query").alias("label"), F.col("doc").alias("section_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def _nearest(spark: SparkSession, sf: str, **filters: object) -> DataFrame:
@@ -87,16 +107,15 @@ def term_vector(text: pd.Series) -> pd.Series:
 
 
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Lexical and vector top 20 over chunks, fused, enriched with their text, and reranked to 10."""
-    chunks = table(spark, sf, "chunks").groupBy("id").agg(F.first("text").alias("text"), F.first("filing_id").alias("filing_id"))
+    """Lexical and vector top 20 over the chunks of two forms and seven years, fused, enriched with their text, and reranked to 10."""
+    chunks = cut_lineage(_directory(spark, sf, form=_FILTERS["form"], fiscal_year=_FILTERS["fiscal_year"]).select("id", "filing_id", "ticker", "form", "fiscal_year", "text"))
     queries = _queries(spark, sf).select(F.col("item_id").cast("string").alias("id"), F.col("question").alias("text"))
-    posts = search.postings(chunks, "id", "text")
-    lexical = search.top_k(search.bm25(posts, search.query_terms(queries, "id", "text")).withColumn("score", F.round("score", 9)), 20)
+    lexical = search.search(chunks, queries, "id", "text", "id", "text", 20)
     dense = vectors.nearest(queries.select("id", term_vector(F.col("text")).alias("v")), chunks.select("id", term_vector(F.col("text")).alias("v")), 20, "id", "v")
     fused = search.fuse([lexical, dense], ["bm25", "dense"]).where("rank <= 20")
     enriched = fused.join(chunks.withColumnRenamed("id", "doc"), "doc").join(queries.select(F.col("id").alias("query"), F.col("text").alias("question")), "query")
     best = search.rerank(enriched.withColumnRenamed("rank", "fused_rank"), search.term_overlap(F.col("question"), F.col("text")), _K)
-    return best.select(F.col("query").alias("item_id"), F.col("doc").alias("chunk_id"), "filing_id", "bm25_rank", "dense_rank", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), "rank")
+    return best.select(F.col("query").alias("item_id"), F.col("doc").alias("chunk_id"), "filing_id", "ticker", "fiscal_year", "bm25_rank", "dense_rank", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
 def eval_by_config(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +129,7 @@ def eval_by_config(spark: SparkSession, sf: str) -> DataFrame:
     return ablation.evaluate_all(questions, docs, [name for name, step in ablation.STEPS if step in ablation.RUN_HERE], term_vector, table(spark, sf, "xbrl_facts"), table(spark, sf, "companies"))
 
 
-QUERIES = {f.__name__: f for f in (fts_and_match, bm25_topk, cover_density_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_topk, eval_by_config)}
+QUERIES = {f.__name__: f for f in (fts_and_match, bm25_topk, bm25_filtered_topk, cover_density_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_topk, eval_by_config)}
 
 _STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
 _WORDS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
@@ -119,10 +138,28 @@ _NEAR = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DO
 _TERMS = f"terms AS (SELECT item_id, unnest(list_filter(list_distinct({_WORDS.format('question')}), lambda t: t NOT IN ({_STOP}))) AS term FROM eval_items WHERE item_id % 50 = 0)"
 _POSTS = f"words AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents), posts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2)"
 
+_LABELS = "labels AS (SELECT DISTINCT item_label AS label FROM filing_sections WHERE item_label IS NOT NULL)"
+_STEM = """CASE WHEN regexp_matches(t, '[^ea]ies$') THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_matches(t, '[^aeo]es$') OR regexp_matches(t, '[^aeus]s$') THEN regexp_replace(t, 's$', '') ELSE t END"""
+
 SQL = {
-    "fts_and_match": f"""WITH q AS (SELECT item_id, list_slice(list_reverse_sort(list_transform(list_distinct({_WORDS.format("question")}), lambda w: (length(w), w))), 1, 2) AS l FROM eval_items WHERE item_id % 50 = 0),
-      t AS (SELECT item_id, unnest(list_filter(list_transform(l, lambda x: x[2]), lambda t: t NOT IN ({_STOP}))) AS term FROM q), n AS (SELECT item_id, count(*) AS n FROM t GROUP BY 1), {_POSTS}
-      SELECT item_id, doc_id FROM t JOIN posts USING (term) JOIN n USING (item_id) GROUP BY item_id, doc_id, n HAVING count(*) = n""",
+    "fts_and_match": f"""WITH {_LABELS}, t AS (SELECT label, unnest(list_distinct(list_transform(list_filter({_WORDS.format("label")}, lambda t: t NOT IN ({_STOP})), lambda t: {_STEM}))) AS term FROM labels),
+      n AS (SELECT label, count(*) AS n FROM t GROUP BY 1), p AS (SELECT DISTINCT id AS section_id, unnest(list_transform({_WORDS.format("text_md")}, lambda t: {_STEM})) AS term FROM filing_sections)
+      SELECT label, section_id FROM t JOIN p USING (term) JOIN n USING (label) GROUP BY label, section_id, n HAVING count(*) = n""",
+    "bm25_filtered_topk": f"""WITH chosen AS (SELECT DISTINCT c.id, ticker, fiscal_year, form, section, c.text FROM chunks c JOIN filings f ON f.id = c.filing_id JOIN companies k ON k.cik = f.cik
+        WHERE form IN ('10-K', '10-Q') AND section IN ('Item 1A', 'Item 2', 'Item 7') AND fiscal_year BETWEEN 2013 AND 2019),
+      {_TERMS}, words AS (SELECT id, unnest({_WORDS.format("text")}) AS term FROM chosen), posts AS (SELECT id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+      lens AS (SELECT id, sum(tf) AS len FROM posts GROUP BY 1), size AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM lens), df AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
+      s AS (SELECT item_id, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 9) AS score
+        FROM terms JOIN posts USING (term) JOIN df USING (term) JOIN lens USING (id), size GROUP BY 1, 2),
+      b AS (SELECT item_id, id, cast(row_number() OVER w AS INTEGER) AS rank, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10)
+      SELECT item_id, id AS chunk_id, ticker, fiscal_year, form, section, rank, score FROM b JOIN chosen USING (id)""",
+    "cover_density_topk": f"""WITH {_LABELS}, t AS (SELECT label, unnest(list_distinct(list_filter({_WORDS.format("label")}, lambda t: t NOT IN ({_STOP})))) AS term FROM labels),
+      n AS (SELECT label, count(*) AS n FROM t GROUP BY 1), w AS (SELECT id AS section_id, {_WORDS.format("text_md")} AS l FROM filing_sections), p AS (SELECT section_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM w),
+      h AS (SELECT label, section_id, n, term, pos FROM t JOIN p USING (term) JOIN n USING (label)),
+      l AS (SELECT a.label, a.section_id, a.pos, a.n, b.term, max(b.pos) AS last FROM h a JOIN h b ON a.label = b.label AND a.section_id = b.section_id AND b.pos <= a.pos GROUP BY ALL),
+      c AS (SELECT label, section_id, pos, min(last) AS start FROM l GROUP BY label, section_id, pos, n HAVING count(*) = n),
+      m AS (SELECT label, section_id, start, min(pos) AS pos FROM c GROUP BY ALL), s AS (SELECT label, section_id, round(sum(1 / (pos - start + 1)), 9) AS score FROM m GROUP BY 1, 2)
+      SELECT label, section_id, cast(row_number() OVER w AS INTEGER) AS rank, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY label ORDER BY score DESC, section_id) QUALIFY row_number() OVER w <= 10""",
     "bm25_topk": f"""WITH {_TERMS}, {_POSTS}, lens AS (SELECT doc_id, sum(tf) AS len FROM posts GROUP BY 1), size AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM lens),
       df AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
       s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 9) AS score
