@@ -46,22 +46,21 @@ def tokens(text: Column, stemmed: bool = False) -> Column:
 def postings(docs: DataFrame, doc_id: str, text: str, positions: bool = False, terms: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
     """(doc, len, term, tf) of each document's terms, with positions on request; NULL and empty texts have none.
 
-    ``terms``: keep only these, which are broadcast if they are few.
+    ``terms``: keep only these, which are broadcast if they are few, and a row without a term for each document with words.
     """
     words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(text), stemmed).alias("w")).withColumn("len", F.size("w"))
     rows = words.select("doc", "len", F.posexplode("w").alias("pos", "term"))
     if terms is not None:
-        wanted = terms.select("term").distinct()
-        rows = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term")
+        wanted = terms.select("term", F.lit(True).alias("_hit")).distinct()
+        if wanted.count() <= BROADCAST_TERMS:
+            marked = words.where("len > 0").select("doc", "len", F.posexplode(F.array_append("w", F.lit(None).cast("string"))).alias("pos", "term"))
+            rows = marked.join(F.broadcast(wanted), "term", "left").where("_hit OR term IS NULL")
+        else:
+            rows = rows.join(wanted, "term").unionByName(words.where("len > 0").select("doc", "len", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("term"), F.lit(True).alias("_hit")))
     extra = [F.array_sort(F.collect_list("pos")).alias("positions")] if positions else []
     return rows.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"), *extra)
 
 
-def corpus_size(docs: DataFrame, text: str, stemmed: bool = False) -> DataFrame:
-    """One row: n_docs, how many texts have words, and avg_len, how many they have on average."""
-    return docs.select(F.size(tokens(F.col(text), stemmed)).alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
-
-
 def query_terms(queries: DataFrame, query_id: str, text: str, drop_stop_words: bool = True, stemmed: bool = False) -> DataFrame:
     """(query, term_no, term, n_terms): the distinct terms of each query, numbered from 0."""
     terms = tokens(F.col(text))
@@ -88,17 +87,15 @@ def match_all(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.where("n = n_terms").select("query", "doc")
 
 
-def bm25(posts: DataFrame, terms: DataFrame, size: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(posts: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, score): BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); any term may match.
 
-    ``size``: :func:`corpus_size`, needed where ``posts`` hold only the terms asked for; else it is taken from them.
+    ``posts`` are those of all terms, or of those asked for with a row for each document.
     """
-    if size is None:
-        size = posts.groupBy("doc").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    known = size.first()
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(known["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(known["avg_len"] or 1.0)))
+    size = posts.groupBy("doc").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")).first()
+    df = posts.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(size["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(size["avg_len"] or 1.0)))
     rows = posts.join(terms.select("query", "term").join(df, "term"), "term")
     return rows.groupBy("query", "doc").agg(F.sum(idf * tf).alias("score"))
 
@@ -108,7 +105,7 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id
     frequencies and scores; scores are rounded to nine places so that ties don't hang on the order of addition."""
     terms = cut_lineage(query_terms(queries, query_id, query, stemmed=stemmed))
     posts = cut_lineage(postings(docs, doc_id, text, terms=terms, stemmed=stemmed))
-    return top_k(bm25(posts, terms, corpus_size(docs, text, stemmed)).withColumn("score", F.round("score", 9)), k)
+    return top_k(bm25(posts, terms).withColumn("score", F.round("score", 9)), k)
 
 
 def cover_density(posts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -35,15 +35,11 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
-def _sections(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "filing_sections").select("id", "text_md")
-
-
 def fts_and_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections with all words of a label, whatever their number."""
+    """Documents with all words of a label, whatever their number."""
     terms = search.query_terms(_labels(spark, sf), "label", "label", stemmed=True)
-    posts = search.postings(_sections(spark, sf), "id", "text_md", terms=terms, stemmed=True)
-    return search.match_all(posts, terms).withColumnsRenamed({"query": "label", "doc": "section_id"})
+    posts = search.postings(_docs(spark, sf), "doc_id", "text", terms=terms, stemmed=True)
+    return search.match_all(posts, terms).withColumnsRenamed({"query": "label", "doc": "doc_id"})
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,9 +64,9 @@ def bm25_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def cover_density_topk(spark: SparkSession, sf: str) -> DataFrame:
     terms = search.query_terms(_labels(spark, sf), "label", "label")
-    posts = search.postings(_sections(spark, sf), "id", "text_md", positions=True, terms=terms)
+    posts = search.postings(_docs(spark, sf), "doc_id", "text", positions=True, terms=terms)
     best = search.top_k(search.cover_density(posts, terms).withColumn("score", F.round("score", 9)), _K)
-    return best.select(F.col("query").alias("label"), F.col("doc").alias("section_id"), "rank", F.round("score", 6).alias("score"))
+    return best.select(F.col("query").alias("label"), F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def _nearest(spark: SparkSession, sf: str, **filters: object) -> DataFrame:
@@ -143,8 +139,8 @@ _STEM = """CASE WHEN regexp_matches(t, '[^ea]ies$') THEN regexp_replace(t, 'ies$
 
 SQL = {
     "fts_and_match": f"""WITH {_LABELS}, t AS (SELECT label, unnest(list_distinct(list_transform(list_filter({_WORDS.format("label")}, lambda t: t NOT IN ({_STOP})), lambda t: {_STEM}))) AS term FROM labels),
-      n AS (SELECT label, count(*) AS n FROM t GROUP BY 1), p AS (SELECT DISTINCT id AS section_id, unnest(list_transform({_WORDS.format("text_md")}, lambda t: {_STEM})) AS term FROM filing_sections)
-      SELECT label, section_id FROM t JOIN p USING (term) JOIN n USING (label) GROUP BY label, section_id, n HAVING count(*) = n""",
+      n AS (SELECT label, count(*) AS n FROM t GROUP BY 1), p AS (SELECT DISTINCT doc_id, unnest(list_transform({_WORDS.format("text")}, lambda t: {_STEM})) AS term FROM documents)
+      SELECT label, doc_id FROM t JOIN p USING (term) JOIN n USING (label) GROUP BY label, doc_id, n HAVING count(*) = n""",
     "bm25_filtered_topk": f"""WITH chosen AS (SELECT DISTINCT c.id, ticker, fiscal_year, form, section, c.text FROM chunks c JOIN filings f ON f.id = c.filing_id JOIN companies k ON k.cik = f.cik
         WHERE form IN ('10-K', '10-Q') AND section IN ('Item 1A', 'Item 2', 'Item 7') AND fiscal_year BETWEEN 2013 AND 2019),
       {_TERMS}, words AS (SELECT id, unnest({_WORDS.format("text")}) AS term FROM chosen), posts AS (SELECT id, term, count(*) AS tf FROM words GROUP BY 1, 2),
@@ -154,12 +150,12 @@ SQL = {
       b AS (SELECT item_id, id, cast(row_number() OVER w AS INTEGER) AS rank, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10)
       SELECT item_id, id AS chunk_id, ticker, fiscal_year, form, section, rank, score FROM b JOIN chosen USING (id)""",
     "cover_density_topk": f"""WITH {_LABELS}, t AS (SELECT label, unnest(list_distinct(list_filter({_WORDS.format("label")}, lambda t: t NOT IN ({_STOP})))) AS term FROM labels),
-      n AS (SELECT label, count(*) AS n FROM t GROUP BY 1), w AS (SELECT id AS section_id, {_WORDS.format("text_md")} AS l FROM filing_sections), p AS (SELECT section_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM w),
-      h AS (SELECT label, section_id, n, term, pos FROM t JOIN p USING (term) JOIN n USING (label)),
-      l AS (SELECT a.label, a.section_id, a.pos, a.n, b.term, max(b.pos) AS last FROM h a JOIN h b ON a.label = b.label AND a.section_id = b.section_id AND b.pos <= a.pos GROUP BY ALL),
-      c AS (SELECT label, section_id, pos, min(last) AS start FROM l GROUP BY label, section_id, pos, n HAVING count(*) = n),
-      m AS (SELECT label, section_id, start, min(pos) AS pos FROM c GROUP BY ALL), s AS (SELECT label, section_id, round(sum(1 / (pos - start + 1)), 9) AS score FROM m GROUP BY 1, 2)
-      SELECT label, section_id, cast(row_number() OVER w AS INTEGER) AS rank, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY label ORDER BY score DESC, section_id) QUALIFY row_number() OVER w <= 10""",
+      n AS (SELECT label, count(*) AS n FROM t GROUP BY 1), w AS (SELECT doc_id, {_WORDS.format("text")} AS l FROM documents), p AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM w),
+      h AS (SELECT label, doc_id, n, term, pos FROM t JOIN p USING (term) JOIN n USING (label)),
+      l AS (SELECT a.label, a.doc_id, a.pos, a.n, b.term, max(b.pos) AS last FROM h a JOIN h b ON a.label = b.label AND a.doc_id = b.doc_id AND b.pos <= a.pos GROUP BY ALL),
+      c AS (SELECT label, doc_id, pos, min(last) AS start FROM l GROUP BY label, doc_id, pos, n HAVING count(*) = n),
+      m AS (SELECT label, doc_id, start, min(pos) AS pos FROM c GROUP BY ALL), s AS (SELECT label, doc_id, round(sum(1 / (pos - start + 1)), 9) AS score FROM m GROUP BY 1, 2)
+      SELECT label, doc_id, cast(row_number() OVER w AS INTEGER) AS rank, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY label ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10""",
     "bm25_topk": f"""WITH {_TERMS}, {_POSTS}, lens AS (SELECT doc_id, sum(tf) AS len FROM posts GROUP BY 1), size AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM lens),
       df AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
       s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 9) AS score
