@@ -2,8 +2,9 @@
 
 Parent and child keys are unioned in one tagged long form and grouped by (parent, key). A key
 without a parent row is an orphan; a key whose parent came after one of its children has late
-references. Children are counted per key before the shuffle, so a hot key arrives as a few partial
-rows, and only the small table of faulty keys is joined back to the child rows.
+references. Children are reduced per key before the shuffle, so a hot key arrives as a few partial
+rows. The table of faulty keys is written once and joined back to the child rows: broadcast if it is small, so that
+child rows stay where they are, else by a shuffle.
 """
 
 from __future__ import annotations
@@ -15,20 +16,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import cut_lineage
+
+#: Most faulty keys that are broadcast.
+BROADCAST_KEYS = 200_000
 
 @dataclass(frozen=True)
 class Parent:
-    """A table that owns keys: ``key`` is NULL where a row owns none, ``since`` says when the row came."""
+    """A table that owns keys: ``key`` is NULL where a row owns none, ``since`` says when the row came, ``period`` are the
+    (fiscal_year, fiscal_period) that children without one of their own take over."""
 
     name: str
     rows: DataFrame
     key: Column
     since: Column
+    period: tuple[Column, Column] | None = None
 
 
 @dataclass(frozen=True)
 class Child:
-    """A field that refers to a parent; ``period`` are (fiscal_year, fiscal_period) of the record."""
+    """A field that refers to a parent; ``period`` are (fiscal_year, fiscal_period) of the record, None if it has none."""
 
     table: str
     field: str
@@ -37,10 +44,15 @@ class Child:
     record_id: Column
     key: Column
     since: Column
-    period: tuple[Column, Column]
+    period: tuple[Column, Column] | None
+
+
+_LONG = ("parent", "key", "is_parent", "parent_since", "child_since", "is_deleted", "period")
+_PERIOD = "struct<fiscal_year: int, fiscal_period: string>"
 
 
-_LONG = ("parent", "key", "is_parent", "parent_since", "child_since", "is_deleted")
+def _period(period: tuple[Column, Column] | None) -> Column:
+    return F.struct(period[0].cast("int").alias("fiscal_year"), period[1].cast("string").alias("fiscal_period")) if period else F.lit(None).cast(_PERIOD)
 
 
 def _children(children: Sequence[Child]) -> DataFrame:
@@ -52,8 +64,7 @@ def _children(children: Sequence[Child]) -> DataFrame:
             F.lit(c.field).alias("ref_field"),
             c.record_id.cast("string").alias("record_id"),
             c.since.cast("timestamp_ntz").alias("since"),
-            c.period[0].cast("int").alias("fiscal_year"),
-            c.period[1].cast("string").alias("fiscal_period"),
+            _period(c.period).alias("period"),
         ).where(F.col("key").isNotNull())
         for c in children
     ]
@@ -61,7 +72,7 @@ def _children(children: Sequence[Child]) -> DataFrame:
 
 
 def faulty_keys(parents: Sequence[Parent], children: Sequence[Child], deleted: DataFrame) -> DataFrame:
-    """(parent, key, parent_since, is_deleted) of keys with an orphan or a late reference.
+    """(parent, key, has_parent, parent_since, is_deleted, parent_period) of keys with an orphan or a late reference.
 
     ``deleted`` holds (parent, key) of keys removed at some time. parent_since is NULL for orphans.
     """
@@ -69,17 +80,17 @@ def faulty_keys(parents: Sequence[Parent], children: Sequence[Child], deleted: D
     tagged = [
         p.rows.select(
             F.lit(p.name).alias("parent"), p.key.alias("key"), F.lit(True).alias("is_parent"),
-            p.since.cast("timestamp_ntz").alias("parent_since"), none_ts.alias("child_since"), no.alias("is_deleted"),
+            p.since.cast("timestamp_ntz").alias("parent_since"), none_ts.alias("child_since"), no.alias("is_deleted"), _period(p.period).alias("period"),
         )
         for p in parents
     ]
     tagged.append(
         _children(children).select(
             "parent", "key", no.alias("is_parent"), none_ts.alias("parent_since"),
-            F.coalesce("since", F.lit("9999-12-31").cast("timestamp_ntz")).alias("child_since"), no.alias("is_deleted"),
+            F.coalesce("since", F.lit("9999-12-31").cast("timestamp_ntz")).alias("child_since"), no.alias("is_deleted"), _period(None).alias("period"),
         )
     )
-    tagged.append(deleted.select("parent", "key", no.alias("is_parent"), none_ts.alias("parent_since"), none_ts.alias("child_since"), F.lit(True).alias("is_deleted")))
+    tagged.append(deleted.select("parent", "key", no.alias("is_parent"), none_ts.alias("parent_since"), none_ts.alias("child_since"), F.lit(True).alias("is_deleted"), _period(None).alias("period")))
     long = reduce(DataFrame.unionByName, tagged).where(F.col("key").isNotNull()).select(*_LONG)
     return (
         long.groupBy("parent", "key")
@@ -88,12 +99,24 @@ def faulty_keys(parents: Sequence[Parent], children: Sequence[Child], deleted: D
             F.min("parent_since").alias("parent_since"),
             F.min("child_since").alias("first_child"),
             F.max("is_deleted").alias("is_deleted"),
+            F.min(F.when(F.col("is_parent"), F.struct("parent_since", "period"))).getField("period").alias("parent_period"),
         )
         .where(F.col("first_child").isNotNull() & (~F.col("has_parent") | (F.col("first_child") < F.col("parent_since"))))
-        .select("parent", "key", "has_parent", "parent_since", "is_deleted")
+        .select("parent", "key", "has_parent", "parent_since", "is_deleted", "parent_period")
     )
 
 
+def _faulty(parents: Sequence[Parent], children: Sequence[Child], deleted: DataFrame) -> DataFrame:
+    """Child rows of faulty keys with ref_state and their period, that of the parent where they have none."""
+    keys = cut_lineage(faulty_keys(parents, children, deleted))
+    state = (
+        F.when(~F.col("has_parent"), F.when(F.col("is_deleted"), "deleted").otherwise("missing"))
+        .when(F.col("since") < F.col("parent_since"), "late")
+    )
+    rows = _children(children).join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, ["parent", "key"])
+    return rows.withColumn("ref_state", state).where("ref_state IS NOT NULL").withColumn("period", F.coalesce("period", "parent_period"))
+
+
 def orphan_references(parents: Sequence[Parent], children: Sequence[Child], deleted: DataFrame) -> DataFrame:
     """One row per faulty reference: ref_table, ref_field, record_id, fiscal_year, fiscal_period, ref_state.
 
@@ -103,39 +126,14 @@ def orphan_references(parents: Sequence[Parent], children: Sequence[Child], dele
     counts as present; a record without a time is never late, nor is any record of a parent without
     one. Repeated records give a row each. An empty table gives no row.
     """
-    keys = faulty_keys(parents, children, deleted)
-    state = (
-        F.when(~F.col("has_parent"), F.when(F.col("is_deleted"), "deleted").otherwise("missing"))
-        .when(F.col("since") < F.col("parent_since"), "late")
-    )
-    return (
-        _children(children)
-        .join(keys, ["parent", "key"])
-        .withColumn("ref_state", state)
-        .where(F.col("ref_state").isNotNull())
-        .select("ref_table", "ref_field", "record_id", "fiscal_year", "fiscal_period", "ref_state")
-    )
+    return _faulty(parents, children, deleted).select("ref_table", "ref_field", "record_id", "period.fiscal_year", "period.fiscal_period", "ref_state")
 
 
 def orphan_counts(parents: Sequence[Parent], children: Sequence[Child], deleted: DataFrame) -> DataFrame:
     """Keys without a parent, counted: ref_table, ref_field, fiscal_year, fiscal_period, ref_state,
-    n_records, n_keys. The same cases as :func:`orphan_references`; a NULL period is a group of its own.
+    n_records, n_keys. The same cases as :func:`orphan_references`; a NULL period is a group of its own, which holds the
+    orphans of a table without periods. Counted per key first, so a hot key is one row of the second grouping.
     """
-    keys = faulty_keys(parents, children, deleted)
-    per_key = (
-        _children(children)
-        .groupBy("parent", "key", "ref_table", "ref_field", "fiscal_year", "fiscal_period", "since")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(keys, ["parent", "key"])
-        .withColumn(
-            "ref_state",
-            F.when(~F.col("has_parent"), F.when(F.col("is_deleted"), "deleted").otherwise("missing")).when(F.col("since") < F.col("parent_since"), "late"),
-        )
-        .where(F.col("ref_state").isNotNull())
-    )
-    return (
-        per_key.groupBy("ref_table", "ref_field", "fiscal_year", "fiscal_period", "ref_state", "key")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("ref_table", "ref_field", "fiscal_year", "fiscal_period", "ref_state")
-        .agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_keys"))
-    )
+    by = ["ref_table", "ref_field", "fiscal_year", "fiscal_period", "ref_state"]
+    rows = _faulty(parents, children, deleted).select("ref_table", "ref_field", "period.fiscal_year", "period.fiscal_period", "ref_state", "key")
+    return rows.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_keys"))

@@ -16,17 +16,16 @@ def _references(spark: SparkSession, sf: str) -> tuple[list[Parent], list[Child]
     filings, companies = table(spark, sf, "filings"), table(spark, sf, "companies")
     removed = table(spark, sf, "deleted_keys")
     c = F.col
+    fact_period = (c("fiscal_year"), c("fiscal_period"))
     parents = [
         Parent("accession_number", filings, accession_key(c("accession_number")), c("ingested_at")),
-        Parent("filing_id", filings, uuid_key(c("id")), c("ingested_at")),
+        Parent("filing_id", filings, uuid_key(c("id")), c("ingested_at"), fact_period),
         Parent("cik", companies, cik_key(c("cik")), c("created_at")),
     ]
-    fact_period = (c("fiscal_year"), c("fiscal_period"))
-    no_period = (F.lit(None), F.lit(None))
     children = [
         Child("xbrl_facts", "accession_number", "accession_number", facts, c("id"), accession_key(c("accession_number")), c("created_at"), fact_period),
         Child("xbrl_facts", "cik", "cik", facts, c("id"), cik_key(c("cik")), c("created_at"), fact_period),
-        Child("filing_sections", "filing_id", "filing_id", sections, c("id"), uuid_key(c("filing_id")), c("created_at"), no_period),
+        Child("filing_sections", "filing_id", "filing_id", sections, c("id"), uuid_key(c("filing_id")), c("created_at"), None),
     ]
     field, value = c("key_field"), c("key_value")
     key = F.when(field == "accession_number", accession_key(value)).when(field == "cik", cik_key(value)).when(field == "filing_id", uuid_key(value))
@@ -60,15 +59,15 @@ WITH refs AS (
   UNION ALL SELECT 'xbrl_facts', 'cik', id, cast(cik AS VARCHAR), created_at, fiscal_year, fiscal_period FROM xbrl_facts
   UNION ALL SELECT 'filing_sections', 'filing_id', id, nullif(lower(trim(filing_id)), ''), created_at, NULL, NULL FROM filing_sections
 ), owners AS (
-  SELECT ref_field, k, min(since) AS since FROM (
-    SELECT 'accession_number' AS ref_field, nullif(regexp_replace(accession_number, '[-\\s]', '', 'g'), '') AS k, ingested_at AS since FROM filings
-    UNION ALL SELECT 'filing_id', lower(trim(id)), ingested_at FROM filings
-    UNION ALL SELECT 'cik', cast(cik AS VARCHAR), created_at FROM companies) GROUP BY 1, 2
+  SELECT ref_field, k, min(since) AS since, min(y) AS y, min(p) AS p FROM (
+    SELECT 'accession_number' AS ref_field, nullif(regexp_replace(accession_number, '[-\\s]', '', 'g'), '') AS k, ingested_at AS since, NULL AS y, NULL AS p FROM filings
+    UNION ALL SELECT 'filing_id', lower(trim(id)), ingested_at, fiscal_year, fiscal_period FROM filings
+    UNION ALL SELECT 'cik', cast(cik AS VARCHAR), created_at, NULL, NULL FROM companies) GROUP BY 1, 2
 ), removed AS (
   SELECT DISTINCT key_field AS ref_field, CASE key_field WHEN 'accession_number' THEN regexp_replace(key_value, '[-\\s]', '', 'g')
     WHEN 'cik' THEN regexp_replace(trim(key_value), '^0+', '') ELSE lower(trim(key_value)) END AS k FROM deleted_keys
 ), cases AS (
-  SELECT r.*, CASE WHEN o.k IS NULL THEN CASE WHEN d.k IS NULL THEN 'missing' ELSE 'deleted' END WHEN r.since < o.since THEN 'late' END AS ref_state
+  SELECT r.*, o.y, o.p, CASE WHEN o.k IS NULL THEN CASE WHEN d.k IS NULL THEN 'missing' ELSE 'deleted' END WHEN r.since < o.since THEN 'late' END AS ref_state
   FROM refs r LEFT JOIN owners o ON r.ref_field = o.ref_field AND r.k = o.k LEFT JOIN removed d ON r.ref_field = d.ref_field AND r.k = d.k
   WHERE r.k IS NOT NULL)
 """
@@ -89,8 +88,9 @@ QUERIES = {
 SQL = {
     "p2_found": _REFS + "SELECT ref_table, ref_field, record_id, ref_state FROM cases WHERE ref_state IS NOT NULL",
     "p2_orphans_by_period": _REFS
-    + """SELECT ref_table, ref_field, cast(fiscal_year AS INTEGER) AS fiscal_year, fiscal_period, ref_state,
-         count(*) AS n_records, count(DISTINCT k) AS n_keys FROM cases WHERE ref_state IS NOT NULL GROUP BY 1, 2, 3, 4, 5""",
+    + """SELECT ref_table, ref_field, cast(CASE WHEN ref_table = 'xbrl_facts' THEN fiscal_year ELSE y END AS INTEGER) AS fiscal_year,
+         CASE WHEN ref_table = 'xbrl_facts' THEN fiscal_period ELSE p END AS fiscal_period, ref_state, count(*) AS n_records, count(DISTINCT k) AS n_keys
+         FROM cases WHERE ref_state IS NOT NULL GROUP BY 1, 2, 3, 4, 5""",
     "p3_found": _SPANS
     + """SELECT cik, canonical_concept, strftime(covered + INTERVAL 1 DAY, '%Y-%m-%d') AS gap_start, strftime(s - INTERVAL 1 DAY, '%Y-%m-%d') AS gap_end
          FROM run WHERE s > covered + INTERVAL 1 DAY""",
