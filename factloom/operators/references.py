@@ -47,7 +47,7 @@ class Child:
     period: tuple[Column, Column] | None
 
 
-_LONG = ("parent", "key", "is_parent", "parent_since", "child_since", "is_deleted", "period")
+_LONG = ("parent", "key", "is_parent", "parent_since", "child_since", "is_deleted")
 _PERIOD = "struct<fiscal_year: int, fiscal_period: string>"
 
 
@@ -72,7 +72,7 @@ def _children(children: Sequence[Child]) -> DataFrame:
 
 
 def faulty_keys(parents: Sequence[Parent], children: Sequence[Child], deleted: DataFrame) -> DataFrame:
-    """(parent, key, has_parent, parent_since, is_deleted, parent_period) of keys with an orphan or a late reference.
+    """(parent, key, has_parent, parent_since, is_deleted) of keys with an orphan or a late reference.
 
     ``deleted`` holds (parent, key) of keys removed at some time. parent_since is NULL for orphans.
     """
@@ -80,17 +80,17 @@ def faulty_keys(parents: Sequence[Parent], children: Sequence[Child], deleted: D
     tagged = [
         p.rows.select(
             F.lit(p.name).alias("parent"), p.key.alias("key"), F.lit(True).alias("is_parent"),
-            p.since.cast("timestamp_ntz").alias("parent_since"), none_ts.alias("child_since"), no.alias("is_deleted"), _period(p.period).alias("period"),
+            p.since.cast("timestamp_ntz").alias("parent_since"), none_ts.alias("child_since"), no.alias("is_deleted"),
         )
         for p in parents
     ]
     tagged.append(
         _children(children).select(
             "parent", "key", no.alias("is_parent"), none_ts.alias("parent_since"),
-            F.coalesce("since", F.lit("9999-12-31").cast("timestamp_ntz")).alias("child_since"), no.alias("is_deleted"), _period(None).alias("period"),
+            F.coalesce("since", F.lit("9999-12-31").cast("timestamp_ntz")).alias("child_since"), no.alias("is_deleted"),
         )
     )
-    tagged.append(deleted.select("parent", "key", no.alias("is_parent"), none_ts.alias("parent_since"), none_ts.alias("child_since"), F.lit(True).alias("is_deleted"), _period(None).alias("period")))
+    tagged.append(deleted.select("parent", "key", no.alias("is_parent"), none_ts.alias("parent_since"), none_ts.alias("child_since"), F.lit(True).alias("is_deleted")))
     long = reduce(DataFrame.unionByName, tagged).where(F.col("key").isNotNull()).select(*_LONG)
     return (
         long.groupBy("parent", "key")
@@ -99,26 +99,35 @@ def faulty_keys(parents: Sequence[Parent], children: Sequence[Child], deleted: D
             F.min("parent_since").alias("parent_since"),
             F.min("child_since").alias("first_child"),
             F.max("is_deleted").alias("is_deleted"),
-            F.min(F.when(F.col("is_parent"), F.struct("parent_since", "period"))).getField("period").alias("parent_period"),
         )
         .where(F.col("first_child").isNotNull() & (~F.col("has_parent") | (F.col("first_child") < F.col("parent_since"))))
-        .select("parent", "key", "has_parent", "parent_since", "is_deleted", "parent_period")
+        .select("parent", "key", "has_parent", "parent_since", "is_deleted")
     )
 
 
 def _faulty(parents: Sequence[Parent], children: Sequence[Child], deleted: DataFrame) -> DataFrame:
-    """Child rows of faulty keys with ref_state and their period, that of the parent where they have none."""
+    """Child rows of faulty keys with ref_state."""
     keys = cut_lineage(faulty_keys(parents, children, deleted))
     state = (
         F.when(~F.col("has_parent"), F.when(F.col("is_deleted"), "deleted").otherwise("missing"))
         .when(F.col("since") < F.col("parent_since"), "late")
     )
     rows = _children(children).join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, ["parent", "key"])
-    return rows.withColumn("ref_state", state).where("ref_state IS NOT NULL").withColumn("period", F.coalesce("period", "parent_period"))
+    return rows.withColumn("ref_state", state).where("ref_state IS NOT NULL")
 
 
-def orphan_references(parents: Sequence[Parent], children: Sequence[Child], deleted: DataFrame) -> DataFrame:
-    """One row per faulty reference: ref_table, ref_field, record_id, fiscal_year, fiscal_period, ref_state.
+def _with_periods(faulty: DataFrame, parents: Sequence[Parent]) -> DataFrame:
+    """Late references without a period of their own take over that of the earliest parent row of their key."""
+    own = [p.rows.select(F.lit(p.name).alias("parent"), p.key.alias("key"), p.since.cast("timestamp_ntz").alias("_since"), _period(p.period).alias("_period")) for p in parents if p.period]
+    if own:
+        first = reduce(DataFrame.unionByName, own).groupBy("parent", "key").agg(F.min_by("_period", F.struct("_since", "_period")).alias("_period"))
+        lacking = faulty.where("period IS NULL AND ref_state = 'late'").join(first, ["parent", "key"], "left").withColumn("period", F.col("_period")).drop("_period")
+        faulty = faulty.where("NOT (period IS NULL AND ref_state = 'late')").unionByName(lacking)
+    return faulty.withColumns({"fiscal_year": F.col("period.fiscal_year"), "fiscal_period": F.col("period.fiscal_period")})
+
+
+def orphan_references(parents: Sequence[Parent], children: Sequence[Child], deleted: DataFrame, periods: bool = True) -> DataFrame:
+    """One row per faulty reference: ref_table, ref_field, record_id, fiscal_year and fiscal_period (if ``periods``), ref_state.
 
     ref_state is ``deleted`` or ``missing`` for keys no parent row has (by whether the key is in
     ``deleted``), ``late`` where the record is older than the earliest parent row of its key.
@@ -126,7 +135,10 @@ def orphan_references(parents: Sequence[Parent], children: Sequence[Child], dele
     counts as present; a record without a time is never late, nor is any record of a parent without
     one. Repeated records give a row each. An empty table gives no row.
     """
-    return _faulty(parents, children, deleted).select("ref_table", "ref_field", "record_id", "period.fiscal_year", "period.fiscal_period", "ref_state")
+    faulty = _faulty(parents, children, deleted)
+    if not periods:
+        return faulty.select("ref_table", "ref_field", "record_id", "ref_state")
+    return _with_periods(faulty, parents).select("ref_table", "ref_field", "record_id", "fiscal_year", "fiscal_period", "ref_state")
 
 
 def orphan_counts(parents: Sequence[Parent], children: Sequence[Child], deleted: DataFrame) -> DataFrame:
@@ -135,5 +147,5 @@ def orphan_counts(parents: Sequence[Parent], children: Sequence[Child], deleted:
     orphans of a table without periods. Counted per key first, so a hot key is one row of the second grouping.
     """
     by = ["ref_table", "ref_field", "fiscal_year", "fiscal_period", "ref_state"]
-    rows = _faulty(parents, children, deleted).select("ref_table", "ref_field", "period.fiscal_year", "period.fiscal_period", "ref_state", "key")
+    rows = _with_periods(_faulty(parents, children, deleted), parents)
     return rows.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_keys"))

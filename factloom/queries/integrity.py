@@ -33,7 +33,7 @@ def _references(spark: SparkSession, sf: str) -> tuple[list[Parent], list[Child]
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return orphan_references(*_references(spark, sf)).select("ref_table", "ref_field", "record_id", "ref_state")
+    return orphan_references(*_references(spark, sf), periods=False)
 
 
 def p2_orphans_by_period(spark: SparkSession, sf: str) -> DataFrame:
