@@ -75,7 +75,7 @@ def scaled_to_unit(values: DataFrame, entity: Sequence[str]) -> DataFrame:
 def first_of_year(facts: DataFrame, tags: DataFrame) -> DataFrame:
     """(cik, canonical, fiscal_year, value, concept, period_end): the row with the earliest period end, within it the raw
     tag of the best priority, then the least id."""
-    rows = facts.where("value IS NOT NULL").join(F.broadcast(tags), "concept")
+    rows = facts.where("value IS NOT NULL").join(tags, "concept")
     first = F.struct("period_end", "priority", "id")
     return rows.groupBy("cik", "canonical", "fiscal_year").agg(
         F.min_by("value", first).cast("double").alias("value"), F.min_by("concept", first).alias("concept"), F.min_by("period_end", first).alias("period_end")

@@ -74,12 +74,12 @@ def flatten_facts(df: DataFrame, json: str, keys: Sequence[str], tags: DataFrame
     )
     if years:
         rows = rows.where(F.col("fy").isin(*years))
-    return rows.join(F.broadcast(tags.select("concept", F.col("canonical").alias("canonical_concept"))), "concept")
+    return rows.join(tags.select("concept", F.col("canonical").alias("canonical_concept")), "concept")
 
 
 def unmapped_tags(facts: DataFrame, tags: DataFrame) -> DataFrame:
     """(concept, n): raw tags without a canonical concept."""
-    return facts.where("concept IS NOT NULL").join(F.broadcast(tags), "concept", "left_anti").groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
+    return facts.where("concept IS NOT NULL").join(tags, "concept", "left_anti").groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
 
 
 def insert_ignore(target: DataFrame | None, incoming: DataFrame, keys: Sequence[str], nulls_distinct: bool = True) -> DataFrame:

@@ -102,7 +102,36 @@ def series_arrays(spark: SparkSession, sf: str) -> DataFrame:
     """One ordered series per company, of two points or more."""
     rows = op.annual_values(_facts(spark, sf), ["total_assets"])
     points = F.array_sort(F.collect_list(F.struct("fiscal_year", "value")))
-    return rows.groupBy("cik").agg(points.alias("points")).where(F.size("points") >= 2).select("cik", F.size("points").alias("n_points"), F.to_json("points").alias("series"))
+    shown = F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["fiscal_year"].cast("string"), F.format_string("%.0f", p["value"]))), ",")
+    return rows.groupBy("cik").agg(points.alias("points")).where(F.size("points") >= 2).select("cik", F.size("points").alias("n_points"), shown.alias("series"))
+
+
+def side_by_side(spark: SparkSession, sf: str) -> DataFrame:
+    """Annual revenue of the first and the last ticker, a column each."""
+    companies = table(spark, sf, "companies").select("cik", "ticker")
+    ends = companies.agg(F.min("ticker").alias("first"), F.max("ticker").alias("last"))
+    rows = op.annual_values(_facts(spark, sf), ["revenue"]).join(companies, "cik").join(ends, (F.col("ticker") == F.col("first")) | (F.col("ticker") == F.col("last")))
+    of = lambda end: F.max(F.when(F.col("ticker") == F.col(end), F.col("value")))
+    return rows.groupBy("fiscal_year").agg(of("first").alias("first_ticker"), of("last").alias("last_ticker"))
+
+
+def _narrative(spark: SparkSession, sf: str, pattern: str) -> DataFrame:
+    """(cik, fiscal_year, n_sections, n_mentions): how often the sections of a company's filings of a year mention a pattern."""
+    f = table(spark, sf, "filings").select(F.col("id").alias("filing_id"), "cik", "fiscal_year")
+    s = table(spark, sf, "filing_sections").select("filing_id", F.regexp_count(F.lower("text_md"), F.lit(pattern)).alias("n"))
+    return s.join(f, "filing_id").groupBy("cik", "fiscal_year").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("n").alias("n_mentions"))
+
+
+def facts_with_narrative(spark: SparkSession, sf: str) -> DataFrame:
+    """Annual revenue beside what the filings of the year say of it."""
+    rows = op.annual_values(_facts(spark, sf), ["revenue"]).join(_narrative(spark, sf, r"\brevenues?\b"), ["cik", "fiscal_year"])
+    return rows.select("cik", "fiscal_year", "value", "n_sections", "n_mentions")
+
+
+def growth_with_narrative(spark: SparkSession, sf: str) -> DataFrame:
+    """Years of falling revenue and how often the filings of that year speak of risk or decline; 0 where there is no section."""
+    fell = op.growth(op.annual_values(_facts(spark, sf), ["revenue"]), ["cik"]).where("growth_pct < 0").select("cik", "fiscal_year", "growth_pct")
+    return fell.join(_narrative(spark, sf, r"\brisks?\b|\bdeclin|\bdecreas"), ["cik", "fiscal_year"], "left").fillna(0, ["n_sections", "n_mentions"])
 
 
 def first_alias_value(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         facts_by_company_year, facts_multi_concept, comparison_table, single_fact, margin_by_company_year, intensity_pct, pivot_periods, eps_growth, growth_a_gt_b, any_decline,
-        fastest_cagr, series_scaled, series_arrays, first_alias_value, concept_coverage, margin_by_nation_year, calc_named_ops, calc_aggregates, calc_expression, filters_any_all,
+        fastest_cagr, series_scaled, series_arrays, side_by_side, facts_with_narrative, growth_with_narrative, first_alias_value, concept_coverage, margin_by_nation_year, calc_named_ops, calc_aggregates, calc_expression, filters_any_all,
     )
 }
 
@@ -193,6 +222,15 @@ SQL = {
       WHERE canonical_concept IN ('revenue', 'net_income', 'capex') AND fiscal_period = 'FY' AND {_BASE} = '10-K' GROUP BY 1, 2""",
     "comparison_table": f"""SELECT ticker, canonical_concept, fiscal_year, fiscal_period, cast(value AS DOUBLE) AS value, cast(value AS DOUBLE) / 1e9 AS value_bn FROM xbrl_facts JOIN companies USING (cik)
       WHERE canonical_concept IN ('revenue', 'cash') AND fiscal_year = 2018 AND {_BASE} IN ('10-K', '10-Q')""",
+    "series_arrays": f"""WITH {_ANNUAL} SELECT cik, cast(count(*) AS INTEGER) AS n_points, string_agg(fiscal_year || ':' || printf('%.0f', value), ',' ORDER BY fiscal_year) AS series
+      FROM annual WHERE canonical_concept = 'total_assets' GROUP BY 1 HAVING count(*) >= 2""",
+    "side_by_side": f"""WITH {_ANNUAL}, e AS (SELECT min(ticker) AS a, max(ticker) AS b FROM companies), r AS (SELECT fiscal_year, ticker, value, a, b FROM annual JOIN companies USING (cik), e WHERE canonical_concept = 'revenue' AND ticker IN (a, b))
+      SELECT fiscal_year, max(value) FILTER (ticker = a) AS first_ticker, max(value) FILTER (ticker = b) AS last_ticker FROM r GROUP BY 1""",
+    "facts_with_narrative": f"""WITH {_ANNUAL}, n AS (SELECT cik, fiscal_year, count(*) AS n_sections, cast(sum(len(regexp_extract_all(lower(text_md), '\\brevenues?\\b'))) AS BIGINT) AS n_mentions
+        FROM filing_sections s JOIN filings f ON f.id = s.filing_id GROUP BY 1, 2) SELECT cik, fiscal_year, value, n_sections, n_mentions FROM annual JOIN n USING (cik, fiscal_year) WHERE canonical_concept = 'revenue'""",
+    "growth_with_narrative": _GROWTH + """, n AS (SELECT cik, fiscal_year, count(*) AS n_sections, cast(sum(len(regexp_extract_all(lower(text_md), '\\brisks?\\b|\\bdeclin|\\bdecreas'))) AS BIGINT) AS n_mentions
+        FROM filing_sections s JOIN filings f ON f.id = s.filing_id GROUP BY 1, 2)
+      SELECT cik, fiscal_year, growth_pct, coalesce(n_sections, 0) AS n_sections, coalesce(n_mentions, 0) AS n_mentions FROM growth LEFT JOIN n USING (cik, fiscal_year) WHERE canonical_concept = 'revenue' AND growth_pct < 0""",
     "single_fact": f"""WITH {_ANNUAL} SELECT ticker, fiscal_year, value, CASE WHEN abs(value) >= 1e12 THEN printf('$%.2fT', value / 1e12) WHEN abs(value) >= 1e9 THEN printf('$%.2fB', value / 1e9)
       WHEN abs(value) >= 1e6 THEN printf('$%.1fM', value / 1e6) ELSE printf('$%.0f', value) END AS shown FROM annual JOIN companies USING (cik) WHERE canonical_concept = 'revenue' AND fiscal_year = 2018""",
     "margin_by_company_year": _ratio_sql(*_PAIR),

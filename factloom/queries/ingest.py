@@ -25,13 +25,14 @@ def form_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 def canonical_concepts(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "xbrl_facts")
-    rows = f.join(F.broadcast(tag_table(spark)), "concept")
+    rows = f.join(tag_table(spark), "concept")
     return rows.groupBy("concept", "canonical").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("canonical") == F.col("canonical_concept")).alias("n_as_stored"))
 
 
 def unmapped_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw tags outside the part of the tag table that reports earnings."""
-    return op.unmapped_tags(table(spark, sf, "xbrl_facts"), tag_table(spark).where("canonical IN ('revenue', 'net_income', 'eps_basic', 'eps_diluted')"))
+    """Raw tags that the tag table lacks, of the facts and, spelled in capitals as some filers do, once more."""
+    facts = table(spark, sf, "xbrl_facts").select("concept")
+    return op.unmapped_tags(facts.unionByName(facts.select(F.upper("concept").alias("concept"))), tag_table(spark))
 
 
 def dedupe_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,10 +105,9 @@ def parallel_arrays(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    """SHA-256 of each section's text as stored: cut to 100,000 characters."""
+    """SHA-256 of each section's whole text."""
     s = table(spark, sf, "filing_sections")
-    text = F.substring("text_md", 1, 100_000)
-    return s.select("id", op.content_hash(text).alias("sha256"), F.length(text).alias("n_chars"))
+    return s.select("id", op.content_hash(F.col("text_md")).alias("sha256"), F.length("text_md").alias("n_chars"))
 
 
 def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,8 +146,8 @@ SQL = {
       CASE WHEN base = '10-Q' THEN 'Q' || quarter(coalesce(period_end, filed_date)) ELSE 'FY' END AS inferred_period FROM f) SELECT id, inferred_year, inferred_period, inferred_year = fiscal_year AS same_year FROM y""",
     "form_normalise": f"SELECT {_BASE} AS base_form, form LIKE '%/A' AS amended, count(*) AS n FROM xbrl_facts GROUP BY 1, 2",
     "canonical_concepts": f"WITH {_TAGS} SELECT concept, canonical, count(*) AS n, count(*) FILTER (canonical = canonical_concept) AS n_as_stored FROM xbrl_facts JOIN tags USING (concept) GROUP BY 1, 2",
-    "unmapped_concepts": f"""WITH {_TAGS} SELECT concept, count(*) AS n FROM xbrl_facts WHERE concept IS NOT NULL AND concept NOT IN
-      (SELECT concept FROM tags WHERE canonical IN ('revenue', 'net_income', 'eps_basic', 'eps_diluted')) GROUP BY 1""",
+    "unmapped_concepts": f"""WITH {_TAGS}, x AS (SELECT concept FROM xbrl_facts UNION ALL SELECT upper(concept) FROM xbrl_facts)
+      SELECT concept, count(*) AS n FROM x WHERE concept IS NOT NULL AND concept NOT IN (SELECT concept FROM tags) GROUP BY 1""",
     "dedupe_insert_ignore": f"""WITH f AS (SELECT {_ACC} AS accession, id, form, ingested_at FROM filings), new AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY id) AS r FROM f WHERE ingested_at >= TIMESTAMP '2016-01-01')
       SELECT accession, id FROM new WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM f o WHERE o.ingested_at < TIMESTAMP '2016-01-01' AND o.accession IS NOT DISTINCT FROM new.accession)""",
     "facts_insert_ignore": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY cik, canonical_concept, period_start, period_end, form, accession_number ORDER BY id) AS r,
@@ -165,7 +165,7 @@ SQL = {
     "nested_json_flatten": f"""WITH {_TAGS} SELECT cik, canonical AS canonical_concept, unit, {_BASE} AS form, count(*) AS n, cast(sum(value) AS DOUBLE) AS total, strftime(max(period_end), '%Y-%m-%d') AS last_end
       FROM xbrl_facts JOIN tags USING (concept) WHERE unit IN ('USD', 'shares', 'USD/shares') AND value IS NOT NULL AND {_BASE} IN ('10-K', '10-Q') GROUP BY 1, 2, 3, 4""",
     "parallel_arrays": f"SELECT cik, id, {_BASE} AS form, filed_date, coalesce(period_end, filed_date) AS period_end FROM filings WHERE form IN ('10-K', '10-Q', '10-K/A', '10-Q/A')",
-    "content_hashes": "SELECT id, sha256(substring(text_md, 1, 100000)) AS sha256, cast(length(substring(text_md, 1, 100000)) AS INTEGER) AS n_chars FROM filing_sections",
+    "content_hashes": "SELECT id, sha256(text_md) AS sha256, cast(length(text_md) AS INTEGER) AS n_chars FROM filing_sections",
     "chunk_ids": """SELECT sha256(concat_ws('|', coalesce(filing_id, chr(0)), coalesce(section, chr(0)), coalesce(char_offset_start::VARCHAR, chr(0)), coalesce(char_offset_end::VARCHAR, chr(0)), coalesce(text, chr(0)))) AS chunk_key,
       count(*) AS n, min(id) AS id FROM chunks GROUP BY 1""",
     "health_counts": " UNION ALL ".join(

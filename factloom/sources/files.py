@@ -41,9 +41,8 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, first
     """
     if first is None:
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("n", "line")).where("trim(line) <> ''")
-    order = lines.orderBy("n").limit(first)
-    return order.select(F.from_json("line", schema).alias("x")).select("x.*")
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
+    return lines.orderBy("_at", "_n").limit(first).select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
 def read_any(spark: SparkSession, path: str, kind: str, schema: T.StructType | None = None, **options: str) -> DataFrame:

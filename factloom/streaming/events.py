@@ -45,7 +45,7 @@ def _shared_path(spark: SparkSession, what: str) -> str:
 def run_complete(stream: DataFrame, what: str) -> DataFrame:
     """Run a stream of aggregates over everything there is now and return its last complete result.
 
-    State and result live in the shared checkpoint folder, so a restart resumes.
+    State and result live in new folders of the shared checkpoint folder: each call runs the stream from its beginning.
     """
     spark = stream.sparkSession
     out, state = _shared_path(spark, what), _shared_path(spark, f"{what}-state")
