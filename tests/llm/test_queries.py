@@ -16,7 +16,8 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, name):
     if name not in queries.SQL:
-        assert queries.QUERIES[name](spark, SF).count() >= 0
+        first, again = (sorted(map(str, queries.QUERIES[name](spark, SF).collect())) for _ in range(2))
+        assert first == again and first and len(set(first)) == len(first)
         return
     got, want = C.compare(spark, C.duck(SF), queries.QUERIES[name], queries.SQL[name], SF)
     assert got == want

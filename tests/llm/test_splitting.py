@@ -32,15 +32,16 @@ def test_tight_overlaps(text, limit, overlap):
     assert all(a < c <= b - overlap and b < d for (a, b, _), (c, d, _) in zip(pieces, pieces[1:]))
 
 
+SIZE, ENCODING = tokenizer_size(tokenizer_file()), load_tokenizer(tokenizer_file())
+
+
 @settings(max_examples=200, deadline=None)
 @given(TEXTS, st.integers(16, 60), st.integers(0, 8))
 def test_token_limits(text, limit, overlap):
-    size = tokenizer_size(tokenizer_file())
-    pieces = cut(text, limit, overlap, size=size)
+    pieces = cut(text, limit, overlap, size=SIZE)
     assert not text or (pieces[0][0] == 0 and pieces[-1][1] == len(text))
-    count = load_tokenizer(tokenizer_file()).encode_ordinary
     # Tokens may join across the parts that sizes are taken of, and only then are fewer.
-    assert all(len(count(text[a:b])) <= limit for a, b, _ in pieces)
+    assert all(len(ENCODING.encode_ordinary(text[a:b])) <= limit for a, b, _ in pieces)
     assert all(a < c <= b and b < d for (a, b, _), (c, d, _) in zip(pieces, pieces[1:]))
 
 
