@@ -239,6 +239,18 @@ SQL = {
       c AS (SELECT a.record_set, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.record_set = b.record_set AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
       SELECT c.record_set, id_a, id_b FROM c JOIN n x ON x.record_set = c.record_set AND x.id = id_a JOIN n y ON y.record_set = c.record_set AND y.id = id_b
       WHERE c / (x.n + y.n - c) >= 0.6""",
+    "p4_groups": """
+      WITH RECURSIVE t AS (SELECT 'filing_sections' AS record_set, id, text_md AS text FROM filing_sections UNION ALL SELECT 'section_versions', version_id, text FROM section_versions),
+      w AS (SELECT record_set, id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM t), m AS (SELECT record_set, id, w, min(id) OVER (PARTITION BY record_set, w) AS class_id, count(*) OVER (PARTITION BY record_set, w) AS copies FROM w WHERE len(w) >= 20),
+      s AS (SELECT record_set, id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM m WHERE id = class_id),
+      n AS (SELECT record_set, id, count(*) AS n FROM s GROUP BY 1, 2),
+      c AS (SELECT a.record_set, a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.record_set = b.record_set AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3),
+      l AS (SELECT c.record_set, a, b FROM c JOIN n x ON x.record_set = c.record_set AND x.id = a JOIN n y ON y.record_set = c.record_set AND y.id = b WHERE c / (x.n + y.n - c) >= 0.6),
+      e AS (SELECT record_set, a, b FROM l UNION ALL SELECT record_set, b, a FROM l), d AS (SELECT record_set, a, count(*) AS links FROM e GROUP BY 1, 2),
+      r AS (SELECT record_set, a, b FROM e UNION SELECT r.record_set, r.a, e.b FROM r JOIN e ON r.record_set = e.record_set AND r.b = e.a),
+      g AS (SELECT record_set, a, min(b) AS least FROM r GROUP BY 1, 2)
+      SELECT m.record_set, id, class_id, coalesce(least(g.least, class_id), class_id) AS group_id, coalesce(links, 0) AS links, copies
+      FROM m LEFT JOIN d ON d.record_set = m.record_set AND d.a = class_id LEFT JOIN g ON g.record_set = m.record_set AND g.a = class_id""",
     "p5_found": """
       SELECT id AS section_id, len(list_filter(string_split_regex(replace(replace(text_md, chr(13) || chr(10), chr(1) || chr(2)), chr(13), chr(10)),
         '(?:\\x01\\x02|\\n)(?:[ \\t]*(?:\\x01\\x02|\\n))+'), lambda x: len(x) > 4096)) AS forced_paragraphs FROM filing_sections WHERE len(text_md) > 4096""",
