@@ -194,11 +194,17 @@ def _picked(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return texts.join(F.broadcast(rows) if few else rows, ["r1", "r2"], how)
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts compressed, for each is shuffled once for itself and once for every pair it opens."""
+    for batch in batches:
+        yield batch.assign(text=[zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in batch["text"]])
+
+
 def _similarity(run_words: int, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = dict(zip(batch["a"], batch["text_a"])) | dict(zip(batch["b"], batch["text_b"]))
-            known, keys, body = {}, list(texts), list(texts.values())
+            known, keys, body = {}, list(texts), [zlib.decompress(t).decode("utf-8", "surrogatepass") for t in texts.values()]
             for x, y in slices(body):
                 words, owner = word_hashes(body[x:y])
                 shingles, first = runs(words, owner, run_words)
@@ -241,7 +247,7 @@ def near_duplicates(texts: DataFrame, run_words: int = 5, threshold: float = 0.8
     pairs = cut_lineage(candidate_pairs(postings, threshold, orders))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     wanted = cut_lineage(members.where("is_first").select("r1", "r2", "c", "class").distinct().join(asked, "c"))
-    found = _picked(rows, wanted, "inner").select("c", "set", "class", "text")
+    found = _picked(rows, wanted, "inner").select("c", "set", "class", "text").mapInPandas(_packed, "c long, set string, class string, text binary")
     x, y = found.alias("x"), found.alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.c")).join(y, F.col("b") == F.col("y.c"))
     links = both.select(
