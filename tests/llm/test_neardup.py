@@ -7,6 +7,7 @@ from itertools import combinations
 
 import pytest
 
+from factloom.llm import neardup
 from factloom.llm.components import connected_components
 from factloom.llm.neardup import duplicate_groups, expand_pairs, near_duplicates, prefix_length
 
@@ -40,6 +41,15 @@ def test_all_pairs(spark, k, t, orders):
     assert got == brute(rows, k, t, 20) and got
 
 
+def test_split_shingles_and_shuffled_rows(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 2)  # nearly every shared shingle lies under several salts
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", -1)
+    rows = corpus(12)
+    df = spark.createDataFrame(rows, "set string, id string, text string")
+    got = {tuple(r) for r in expand_pairs(*near_duplicates(df, 3, 0.6, 20), part=1).collect()}
+    assert got == brute(rows, 3, 0.6, 20) and got
+
+
 def test_groups(spark):
     rows = corpus(9)
     df = spark.createDataFrame(rows, "set string, id string, text string")
