@@ -7,6 +7,8 @@ rate over nothing), the default gives NULL, which is what a query over many rows
 from __future__ import annotations
 
 import ast
+import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -70,6 +72,33 @@ def shown(name: str, value: Column) -> Column:
     return F.format_string("%.6f", value) if name in {"ratio", "divide"} else value.cast("string")
 
 
+# How the formula of an operation is written; {0}, {1}, {2} are its operands in order.
+FORMULAS = {
+    "add": "{0} + {1}",
+    "subtract": "{0} - {1}",
+    "multiply": "{0} * {1}",
+    "divide": "{0} / {1}",
+    "yoy_growth": "({0} - {1}) / {1} * 100",
+    "percent_of": "{0} / {1} * 100",
+    "ratio": "{0} / {1}",
+    "margin": "{0} / {1} * 100",
+    "cagr": "((({1} / {0}) ^ (1 / {2})) - 1) * 100",
+}
+
+
+def formula(name: str, operands: Sequence[Column], value: Column) -> Column:
+    """``left side = result`` of an operation as text; an aggregate's operand is one array. NULL where a part is NULL.
+
+    Operands are written as Spark writes numbers, the result as :func:`shown`.
+    """
+    if name not in FORMULAS:
+        listed = F.concat(F.lit(f"{name}(["), F.array_join(F.transform(operands[0], lambda x: x.cast("string")), ", "), F.lit("])"))
+        return F.concat(listed, F.lit(" = "), shown(name, value))
+    parts = re.split(r"\{(\d)\}", FORMULAS[name])
+    text = [F.lit(part) if i % 2 == 0 else operands[int(part)].cast("string") for i, part in enumerate(parts)]
+    return F.concat(*text, F.lit(" = "), shown(name, value))
+
+
 def _floor_div(a: Column, b: Column) -> Column:
     return F.floor(F.try_divide(a, b)).cast("double")
 

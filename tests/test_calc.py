@@ -53,3 +53,13 @@ def test_refused(spark, text):
 @given(st.integers(-50, 50), st.integers(-9, 9).filter(bool), st.sampled_from(["+", "-", "*", "/", "//", "%"]))
 def test_like_python(spark, a, b, op):
     assert one(spark, calc.expression(f"({a}) {op} ({b})")) == pytest.approx(eval(f"{a} {op} ({b})"))  # noqa: S307
+
+
+def test_formulas(spark):
+    df = spark.createDataFrame([(110.0, 100.0, 2, [1.0, 2.0])], "a double, b double, n int, v array<double>")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(
+        calc.formula("yoy_growth", [a, b], calc.yoy_growth(a, b)), calc.formula("subtract", [a, b], a - b), calc.formula("ratio", [a, b], a / b),
+        calc.formula("cagr", [b, a, F.col("n")], F.lit(4.8809)), calc.formula("sum", [F.col("v")], F.lit(3.0)),
+    ).first()
+    assert tuple(got) == ("(110.0 - 100.0) / 100.0 * 100 = 10.0000%", "110.0 - 100.0 = 10.0", "110.0 / 100.0 = 1.100000", "(((110.0 / 100.0) ^ (1 / 2)) - 1) * 100 = 4.8809%", "sum([1.0, 2.0]) = 3.0")
