@@ -7,6 +7,7 @@ such runs are compared here, but they are no work for Spark and are not run.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from factloom.session import cut_lineage
 
 # Fixed value: the concept of the facts step, whatever the question asks for.
 FACTS_CONCEPT = "revenue"
+#: Questions that are broadcast at once.
+QUESTIONS_A_BLOCK = 50_000
 # Names of the configurations. Each runs its own step after those of the ones above it.
 STEPS = (
     ("Vanilla RAG", "lexical"),
@@ -75,8 +78,8 @@ def fact_claims(questions: DataFrame, facts: DataFrame, companies: DataFrame, to
 
     Questions may have arrays ``tickers`` and ``fiscal_years``; missing, NULL and empty ones are no filter. A fact without
     an accession number is a claim without citation. hit_error is that of the first fact within the
-    tolerance, by ticker, period end and id; NULL where none is. Questions are broadcast; facts are reduced to a row
-    per question before the shuffle.
+    tolerance, by ticker, period end and id; NULL where none is. Questions are broadcast in blocks of bounded size; facts are reduced
+    to a row per question before the shuffle.
     """
     asked = questions.select("id", "gold", *[F.col(c).alias(f"_{c}") for c in ("tickers", "fiscal_years") if c in questions.columns])
     known = query_facts(facts, companies, FACTS_CONCEPT).where("value IS NOT NULL")
@@ -86,7 +89,9 @@ def fact_claims(questions: DataFrame, facts: DataFrame, companies: DataFrame, to
     for many, one in (("_tickers", "ticker"), ("_fiscal_years", "fiscal_year")):
         if many in asked.columns:
             meant = meant & (open_(many) | F.array_contains(many, F.col(one)))
-    pairs = known.join(F.broadcast(asked), meant).withColumn("error", vf.gold_error(F.col("gold"), F.col("value")))
+    n = -(-questions.count() // QUESTIONS_A_BLOCK) or 1
+    blocks = [known.join(F.broadcast(asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k)), meant) for k in range(n)]
+    pairs = reduce(DataFrame.unionByName, blocks).withColumn("error", vf.gold_error(F.col("gold"), F.col("value")))
     counts = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_facts"), F.count_if("cited").alias("n_cited"), F.min("error").alias("least_error"))
     hits = pairs.where(F.col("error") <= tolerance_pct).groupBy("id").agg(F.min_by("error", F.struct("ticker", "period_end", "fact")).alias("hit_error"))
     return counts.join(hits, "id", "left")
